@@ -76,7 +76,8 @@ def filled_tenure(measures: str, zeros: list[str], where: str = "TRUE", tail: st
 
 def account_bands(key: str) -> str:
     return f"""SELECT tenure_band, {key}, COALESCE(acct_ct, 0) AS acct_ct
-    FROM (SELECT DISTINCT {key} FROM account_summary WHERE {key} IS NOT NULL), {TENURES}
+    FROM (SELECT * FROM (SELECT DISTINCT {key} FROM account_summary WHERE {key} IS NOT NULL)
+      CROSS JOIN {TENURES})
     LEFT JOIN (SELECT tenure_band, {key}, COUNT(*) AS acct_ct FROM account_summary
       GROUP BY tenure_band, {key}) USING (tenure_band, {key})"""
 
