@@ -472,7 +472,7 @@ FACT_QUERIES = {
     "spend_histogram_buyers": histogram("total_revenue", 0, 900, 30, "total_revenue <> 0"),
     "txn_histogram": histogram("total_txn", 0, 400, 40),
     "txn_histogram_active": histogram("total_txn", 0, 120, 30, "total_txn <> 0"),
-    "transaction_statistics": describe("txn_fact", ["price"]),
+    "transaction_statistics": describe("txn_fact", ["price", "category_id"]),
     "account_statistics": describe("account_summary", SUMMARY_MEASURES),
     "final_statistics": describe(
         "final", ["price", "acct_tenure_days", "transaction_without_acct", "free_transaction_flag",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.plans import accounts, facts, pricing, subscriptions
+from shelfscope.plans import accounts, facts, leaders, pricing, subscriptions
 from shelfscope.rules import Rules
 from shelfscope.sources.files import Roles
 from shelfscope.sources.kept import KeptTables
@@ -83,13 +83,16 @@ class Market:
             "final",
             lambda: facts.final_fact(
                 self.resolved,
-                accounts.account_traits(self.activity, self.account_summary),
-                self.outliers,
+                accounts.account_traits(self.activity, self.account_summary, self.outliers),
             ),
             partition_by=["transaction_year_month"],
             sort_by=["transaction_dt"],
         )
 
+    @property
+    def app_week_counts(self) -> DataFrame:
+        return self._get("app_week_counts", lambda: leaders.app_week_counts(self.final))
+
     @property
     def subscription(self) -> DataFrame:
         return subscriptions.subscription_transactions(self.final, self.rules.not_subscription)

@@ -13,8 +13,8 @@ from shelfscope.operators.grouping import fill_bands
 QUARTILES = (0.25, 0.5, 0.75)
 
 # A quantile is bracketed by 0.1 % of the rows to each side, from a sketch that errs by at
-# most 0.001 %. Up to SMALL values the bracket is the whole range.
-_ACCURACY = 100_000
+# most 0.01 %. Up to SMALL values the bracket is the whole range.
+_ACCURACY = 10_000
 _MARGIN = 0.001
 _SMALL = 10_000
 

@@ -169,7 +169,7 @@ def outlier_accounts(
     )
 
 
-def account_traits(activity: DataFrame, summary: DataFrame) -> DataFrame:
+def account_traits(activity: DataFrame, summary: DataFrame, outliers: DataFrame) -> DataFrame:
     """What the final fact needs of every buying account, known to the account table or not."""
     bought = activity.dropna(subset=["acct_id"]).select(
         "acct_id",
@@ -178,7 +178,10 @@ def account_traits(activity: DataFrame, summary: DataFrame) -> DataFrame:
         flag(F.col("total_revenue") > 0).alias("paid_acct_flag"),
     )
     known = summary.select("acct_id", "account_create_dt", "payment_type", "acct_txn_group")
-    return lookup(bought, known, "acct_id")
+    marks = outliers.select("acct_id", F.lit(True).alias("is_outlier"))
+    return lookup(lookup(bought, known, "acct_id"), marks, "acct_id").withColumn(
+        "is_outlier", F.coalesce("is_outlier", F.lit(False))
+    )
 
 
 def extreme_accounts(summary: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from shelfscope.operators.joins import (
     lookup,
     lookup_where,
     with_fallback,
-    without_ids,
 )
 
 APP_COLUMNS = [
@@ -120,25 +119,28 @@ def transaction_fact(resolved: DataFrame, account: DataFrame) -> DataFrame:
     )
 
 
-def final_fact(resolved: DataFrame, traits: DataFrame, outliers: DataFrame) -> DataFrame:
+def final_fact(resolved: DataFrame, traits: DataFrame) -> DataFrame:
     """Purchases of ordinary accounts, with calendar, tenure, band and price attributes.
 
-    ``traits`` holds one row per buying account, so account attributes, account group and the
-    paid flag arrive in a single join, and neither needs a window over an account's purchases.
-    The edges of the tenure bands also follow from it, without a pass over the purchases.
+    ``traits`` holds one row per buying account, so account attributes, account group, paid
+    flag and outlier mark arrive in a single join of the purchases, and none needs a window
+    over an account's purchases. One join also leaves Spark free to split the partition of an
+    account with very many purchases. The edges of the tenure bands follow from ``traits`` too.
     """
-    ordinary = without_ids(traits, outliers, "acct_id")
-    edges = ordinary.agg(
-        F.struct(
-            F.min(F.datediff("first_dt", "account_create_dt")).alias("lowest"),
-            F.max(F.datediff("last_dt", "account_create_dt")).alias("highest"),
+    edges = (
+        traits.filter(~F.col("is_outlier"))
+        .agg(
+            F.struct(
+                F.min(F.datediff("first_dt", "account_create_dt")).alias("lowest"),
+                F.max(F.datediff("last_dt", "account_create_dt")).alias("highest"),
+            )
         )
-    ).scalar()
-    known = traits.select(
-        "acct_id", "account_create_dt", "payment_type", "acct_txn_group", "paid_acct_flag"
+        .scalar()
     )
+    known = traits.drop("first_dt", "last_dt")
+    kept = lookup(resolved, known, "acct_id").filter(~F.coalesce("is_outlier", F.lit(False)))
     day = F.col("transaction_dt")
-    rows = lookup(without_ids(resolved, outliers, "acct_id"), known, "acct_id").withColumns(
+    rows = kept.drop("is_outlier").withColumns(
         {
             "transaction_year_month": dates.year_month(day),
             "transaction_year": F.year(day),
@@ -166,7 +168,7 @@ def final_fact(resolved: DataFrame, traits: DataFrame, outliers: DataFrame) -> D
         }
     ).select(
         *resolved.columns,
-        *[c for c in known.columns if c != "acct_id"],
+        *[c for c in known.columns if c not in ("acct_id", "is_outlier")],
         *added,
         "acct_tenure_months",
         "acct_tenure_years",

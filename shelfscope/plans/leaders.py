@@ -7,69 +7,88 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.numbers import money_sum, rows
 from shelfscope.operators.grouping import group_present
-from shelfscope.operators.ordering import min_rank
+from shelfscope.operators.ordering import with_min_ranks
 
 WEEK = "first_day_of_the_week"
 
 
-def app_week(final: DataFrame) -> DataFrame:
-    """Apps by week with ranks in the week and in the category of the week.
+def _category_weeks(counted: DataFrame) -> DataFrame:
+    """Sales of every category and week with their ranks: one row per category and week.
 
-    ``category_weekly_sales_rank`` ranks app rows, so it skips by the number of apps of a
-    category; the dense rank next to it numbers the categories.
+    The plain rank counts the app rows of better categories, the dense one the categories.
     """
-    week, category = [WEEK], [WEEK, "category_name"]
-    counted = group_present(final, WEEK, "app_name", "category_name").agg(
+    best_first = Window.partitionBy(WEEK).orderBy(F.desc("category_weekly_sales"))
+    better = F.sum("app_ct").over(best_first.rangeBetween(Window.unboundedPreceding, 0))
+    equal = F.sum("app_ct").over(Window.partitionBy(WEEK, "category_weekly_sales"))
+    return (
+        counted.groupBy(WEEK, "category_name")
+        .agg(
+            F.sum(F.col("app_weekly_sales").cast("decimal(18,2)"))
+            .cast("double")
+            .alias("category_weekly_sales"),
+            rows().alias("app_ct"),
+        )
+        .select(
+            WEEK,
+            "category_name",
+            "category_weekly_sales",
+            (better - equal + 1).cast("int").alias("category_weekly_sales_rank"),
+            F.dense_rank().over(best_first).alias("category_weekly_sales_dense_rank"),
+        )
+    )
+
+
+def app_week_counts(final: DataFrame) -> DataFrame:
+    """Sales, buyers and purchases of every app and week: what the ranks are made from."""
+    return group_present(final, WEEK, "app_name", "category_name").agg(
         money_sum().alias("app_weekly_sales"),
         F.countDistinct("acct_id").alias("app_active_acct_ct"),
         rows().alias("app_weekly_transaction_ct"),
     )
-    ranked = counted.withColumns(
-        {
-            "app_weekly_sales_rank": min_rank(week, "app_weekly_sales"),
-            "app_weekly_transaction_ct_rank": min_rank(week, "app_weekly_transaction_ct"),
-            "app_weekly_sales_rank_category": min_rank(category, "app_weekly_sales"),
-            "app_weekly_transaction_ct_rank_category": min_rank(
-                category, "app_weekly_transaction_ct"
-            ),
-            "category_weekly_sales": F.sum(
-                F.col("app_weekly_sales").cast("decimal(18,2)")
-            ).over(Window.partitionBy(*category)).cast("double"),
-        }
-    )
-    return ranked.withColumns(
-        {
-            "category_weekly_sales_rank": min_rank(week, "category_weekly_sales"),
-            "category_weekly_sales_dense_rank": F.dense_rank().over(
-                Window.partitionBy(*week).orderBy(F.desc("category_weekly_sales"))
-            ),
-        }
-    )
 
 
-def latest_week(final: DataFrame) -> DataFrame:
-    """Purchases of the last week in which any app of a category sold.
+def app_week(counts: DataFrame) -> DataFrame:
+    """Apps by week with ranks in the week and in the category of the week.
 
-    Ranks never cross weeks, so cutting to the week before grouping gives the same leaders.
+    ``category_weekly_sales_rank`` ranks app rows, so it skips by the number of apps of a
+    category; the dense rank next to it numbers the categories.
     """
-    named = final.dropna(subset=["app_name", "category_name"])
-    return named.filter(F.col(WEEK) == named.agg(F.max(WEEK)).scalar())
+    week, category = [WEEK], [WEEK, "category_name"]
+    ranked = with_min_ranks(
+        counts,
+        {
+            "app_weekly_sales": {
+                "app_weekly_sales_rank": week,
+                "app_weekly_sales_rank_category": category,
+            },
+            "app_weekly_transaction_ct": {
+                "app_weekly_transaction_ct_rank": week,
+                "app_weekly_transaction_ct_rank_category": category,
+            },
+        },
+    )
+    return ranked.join(F.broadcast(_category_weeks(counts)), category)
+
+
+def latest_week(counts: DataFrame) -> DataFrame:
+    """The last week only. Ranks never cross weeks, so it can be cut out before ranking."""
+    return counts.filter(F.col(WEEK) == counts.agg(F.max(WEEK)).scalar())
 
 
 def _either_within(k: int, first: str, second: str) -> Column:
     return (F.col(first) <= k) | (F.col(second) <= k)
 
 
-def week_leaders(final: DataFrame, k: int = 5) -> DataFrame:
+def week_leaders(counts: DataFrame, k: int = 5) -> DataFrame:
     """Apps of the last week among the first ``k`` by sales or by purchases; ties stay."""
-    return app_week(latest_week(final)).filter(
+    return app_week(latest_week(counts)).filter(
         _either_within(k, "app_weekly_sales_rank", "app_weekly_transaction_ct_rank")
     )
 
 
-def category_leaders(final: DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
+def category_leaders(counts: DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
     """Leaders of the last week within each category, best category first."""
-    best = app_week(latest_week(final)).filter(
+    best = app_week(latest_week(counts)).filter(
         _either_within(
             k, "app_weekly_sales_rank_category", "app_weekly_transaction_ct_rank_category"
         )

@@ -72,7 +72,7 @@ def _account_reports() -> dict[str, Report]:
         "spend_histogram_buyers": bars("total_revenue", 900, 30, False),
         "txn_histogram": bars("total_txn", 400, 40, True),
         "txn_histogram_active": bars("total_txn", 120, 30, False),
-        "transaction_statistics": lambda m: describe(m.transaction_fact, ["price"]),
+        "transaction_statistics": lambda m: describe(m.resolved, ["price", "category_id"]),
         "account_statistics": lambda m: describe(m.account_summary, accounts.SUMMARY_MEASURES),
         "final_statistics": lambda m: describe(
             m.final,
@@ -148,10 +148,10 @@ def _trend_reports() -> dict[str, Report]:
             "transaction_weekday_nm",
             ["wow_sales_increase_rate", "wow_transaction_ct_increase_rate", "wow_active_acct_ct"],
         ),
-        "app_week": lambda m: leaders.app_week(m.final),
-        "week_leaders": lambda m: leaders.week_leaders(m.final),
-        "category_leaders": lambda m: leaders.category_leaders(m.final),
-        "category_leaders_games": lambda m: leaders.category_leaders(m.final, category="Games"),
+        "app_week": lambda m: leaders.app_week(m.app_week_counts),
+        "week_leaders": lambda m: leaders.week_leaders(m.app_week_counts),
+        "category_leaders": lambda m: leaders.category_leaders(m.app_week_counts),
+        "category_leaders_games": lambda m: leaders.category_leaders(m.app_week_counts, category="Games"),
         "performance_month": lambda m: trends.performance_month(m.final),
         "performance_month_without_spike": lambda m: trends.performance_month(
             m.final, [m.rules.spike_day]
