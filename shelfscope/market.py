@@ -78,7 +78,7 @@ class Market:
 
     @property
     def final(self) -> DataFrame:
-        """The fact nearly all reports read, by month and in day order within its files."""
+        """The fact nearly all reports read: months are partitions, days lie together in files."""
         return self._get(
             "final",
             lambda: facts.final_fact(
@@ -86,7 +86,7 @@ class Market:
                 accounts.account_traits(self.activity, self.account_summary, self.outliers),
             ),
             partition_by=["transaction_year_month"],
-            sort_by=["transaction_dt"],
+            cluster_by=["transaction_dt"],
         )
 
     @property

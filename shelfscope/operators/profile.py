@@ -7,37 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numbers import rows
+from shelfscope.functions.numbers import ratio, rows
 from shelfscope.operators.grouping import fill_bands
+from shelfscope.operators.ordering import magnitude
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# A quantile is bracketed by 0.1 % of the rows to each side, from a sketch that errs by at
-# most 0.01 %. Up to SMALL values the bracket is the whole range.
-_ACCURACY = 10_000
-_MARGIN = 0.001
-_SMALL = 10_000
-
-
-def _statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column, from one pass: moments, extremes and bracket ends."""
-    ends = [p for q in QUARTILES for p in (q - _MARGIN, q + _MARGIN)]
-
-    def of(name: str) -> Column:
-        value = F.col(name).cast("double")
-        return F.struct(
-            F.lit(name).alias("column_name"),
-            F.count(value).alias("n"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("lowest"),
-            F.max(value).alias("highest"),
-            F.percentile_approx(value, ends, F.lit(_ACCURACY)).alias("ends"),
-        )
-
-    packed = df.agg(*[of(c).alias(f"s{i}") for i, c in enumerate(columns)])
-    listed = F.array(*[F.col(f"s{i}") for i in range(len(columns))])
-    return packed.select(F.explode(listed).alias("s")).select("s.*")
+# Slice of missing values, below every other.
+NO_SLICE = -1_000_000
 
 
 def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,74 +34,73 @@ def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per column.
 
-    Quartiles interpolate linearly. A sketch brackets each of them; values below the bracket
-    are only counted, those inside are ordered after equal values were collapsed. No task
-    holds all values, and the result does not depend on the sketch.
+    Quartiles interpolate linearly. ``df`` is read once: equal values collapse to a count, and
+    the distinct values are ordered within slices of their magnitude, so no task holds all of
+    them. The slices' totals, some hundred rows per column, tell how many values lie below.
     """
-    known = ["column_name", "n", "mean", "std", "lowest", "highest"]
-    brackets = _statistics(df, columns).select(
-        *known,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(q).alias("quartile"),
-                        F.col("ends")[2 * i].alias("from_value"),
-                        F.col("ends")[2 * i + 1].alias("to_value"),
-                    )
-                    for i, q in enumerate(QUARTILES)
-                ]
-            )
-        ).alias("b"),
-    ).select(*known, "b.*")
-    small = F.col("n") <= _SMALL
-    brackets = brackets.withColumns(
-        {
-            "from_value": F.when(small, F.col("lowest")).otherwise(F.col("from_value")),
-            "to_value": F.when(small, F.col("highest")).otherwise(F.col("to_value")),
-        }
+    counted = _counted(df, columns).withColumn(
+        "slice", F.coalesce(magnitude(F.col("value")), F.lit(NO_SLICE))
     )
-    keys = [*known, "quartile"]
-    slot = F.when(F.col("value") >= F.col("from_value"), F.col("value"))
-    ordered = (
-        _counted(df, columns)
-        .join(brackets, "column_name")
-        .filter(F.col("value").isNull() | (F.col("value") <= F.col("to_value")))
-        .groupBy(*keys, slot.alias("slot"))
-        .agg(F.sum("ct").alias("ct"))
+    whole = Window.partitionBy("column_name")
+    below = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        counted.groupBy("column_name", "slice")
+        .agg(
+            F.sum("ct").alias("slice_ct"),
+            F.sum(F.col("value") * F.col("ct")).alias("slice_sum"),
+            F.min("value").alias("slice_min"),
+            F.max("value").alias("slice_max"),
+        )
+        .select(
+            "column_name",
+            "slice",
+            F.coalesce(F.sum("slice_ct").over(below), F.lit(0)).alias("below"),
+            F.sum("slice_ct").over(whole).alias("n"),
+            ratio(F.sum("slice_sum").over(whole), F.sum("slice_ct").over(whole)).alias("mean"),
+            F.min("slice_min").over(whole).alias("lowest"),
+            F.max("slice_max").over(whole).alias("highest"),
+        )
     )
-    so_far = F.sum("ct").over(
-        Window.partitionBy("column_name", "quartile")
-        .orderBy(F.asc_nulls_first("slot"))
+    upto = (
+        Window.partitionBy("column_name", "slice")
+        .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    place = (F.col("n") - 1) * F.col("quartile")
+    placed = counted.join(F.broadcast(slices), ["column_name", "slice"]).withColumn(
+        "reached", F.col("below") + F.sum("ct").over(upto)
+    )
 
     def at(position: Column) -> Column:
-        return F.min(F.when(F.col("so_far") >= position + 1, F.col("slot")))
-
-    found = (
-        ordered.withColumn("so_far", so_far)
-        .groupBy(*keys)
-        .agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
-        .withColumn(
-            "value",
-            F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place)),
-        )
-    )
-    quartiles = [
-        F.round(F.max(F.when(F.col("quartile") == q, F.col("value"))), 6).alias(f"q{int(q * 100)}")
+        return F.min(F.when(F.col("reached") >= position + 1, F.col("value")))
+
+    def place(q: float) -> Column:
+        return (F.col("n") - 1) * F.lit(q)
+
+    ends = [
+        c
         for q in QUARTILES
+        for c in (
+            at(F.floor(place(q))).alias(f"low_{q}"),
+            at(F.ceil(place(q))).alias(f"high_{q}"),
+        )
     ]
-    return found.groupBy(*known).agg(*quartiles).select(
+    off = F.col("value") - F.col("mean")
+    found = placed.groupBy("column_name", "n", "mean", "lowest", "highest").agg(
+        F.sum(off * off * F.col("ct")).alias("squares"), *ends
+    )
+
+    def quartile(q: float) -> Column:
+        low, high = F.col(f"`low_{q}`"), F.col(f"`high_{q}`")
+        step = place(q) - F.floor(place(q))
+        return F.round(low + (high - low) * step, 6).alias(f"q{int(q * 100)}")
+
+    return found.select(
         "column_name",
         F.col("n").alias("value_ct"),
         F.round("mean", 6).alias("mean"),
-        F.round("std", 6).alias("std"),
+        F.round(F.sqrt(ratio("squares", F.col("n") - 1)), 6).alias("std"),
         F.col("lowest").alias("min"),
-        "q25",
-        "q50",
-        "q75",
+        *[quartile(q) for q in QUARTILES],
         F.col("highest").alias("max"),
     )
 

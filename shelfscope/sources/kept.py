@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -40,19 +41,29 @@ class KeptTables:
         name: str,
         build: Callable[[], DataFrame],
         partition_by: Sequence[str] = (),
-        sort_by: Sequence[str] = (),
+        cluster_by: Sequence[str] = (),
     ) -> DataFrame:
+        """The table, built and written at the first call.
+
+        ``cluster_by`` brings equal values together in files of the session's advisory
+        partition size (a value with more rows fills several files, small ones share one), so
+        that a filter on it skips files within a partition.
+        """
         if name not in self._tables:
             table = build()
             if self._folder:
-                table = self._written(name, table, partition_by, sort_by)
+                table = self._written(name, table, partition_by, cluster_by)
             self._tables[name] = table
         return self._tables[name]
 
     def _written(
-        self, name: str, table: DataFrame, partition_by: Sequence[str], sort_by: Sequence[str]
+        self, name: str, table: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str]
     ) -> DataFrame:
         path = f"{self._folder}/{name}"
-        rows = table.sortWithinPartitions(*partition_by, *sort_by) if sort_by else table
+        rows = table
+        if cluster_by:
+            rows = table.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(
+                *partition_by, *cluster_by
+            )
         rows.write.partitionBy(*partition_by).parquet(path)
         return self._spark.read.schema(table.schema).parquet(path).select(*table.columns)

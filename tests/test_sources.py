@@ -55,7 +55,7 @@ def test_kept_tables_are_built_once_and_read_from_files(spark, tmp_path):
         return spark.range(5).selectExpr("id", "cast(id % 2 as string) as part")
 
     tables = KeptTables(spark, str(tmp_path))
-    first = tables.get("t", build, partition_by=["part"], sort_by=["id"])
+    first = tables.get("t", build, partition_by=["part"], cluster_by=["id"])
     again = tables.get("t", build)
     assert built == [1]
     assert first.columns == ["id", "part"]
