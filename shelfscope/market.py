@@ -76,15 +76,21 @@ class Market:
             ),
         )
 
+    @property
+    def account_traits(self) -> DataFrame:
+        """Stored, so that the join of the purchases has a plain scan on its small side: only
+        then may Spark split the partition of an account with very many purchases."""
+        return self._get(
+            "account_traits",
+            lambda: accounts.account_traits(self.activity, self.account_summary, self.outliers),
+        )
+
     @property
     def final(self) -> DataFrame:
         """The fact nearly all reports read: months are partitions, days lie together in files."""
         return self._get(
             "final",
-            lambda: facts.final_fact(
-                self.resolved,
-                accounts.account_traits(self.activity, self.account_summary, self.outliers),
-            ),
+            lambda: facts.final_fact(self.resolved, self.account_traits),
             partition_by=["transaction_year_month"],
             cluster_by=["transaction_dt"],
         )
@@ -105,4 +111,5 @@ class Market:
 
     @property
     def regular_price(self) -> DataFrame:
-        return pricing.regular_price(self.final)
+        """Stored for the same reason as the account traits: a bestseller's rows can be split."""
+        return self._get("regular_price", lambda: pricing.regular_price(self.final))

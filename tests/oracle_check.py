@@ -11,9 +11,11 @@ import duckdb
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    """Views of the tables; a folder holds the part files of its table."""
     con = duckdb.connect()
     for path in sorted(Path(folder).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        files = path if path.is_file() else f"{path}/*.parquet"
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
