@@ -533,6 +533,8 @@ FACT_QUERIES = {
       weekly_transaction_ct_increase_rate FROM ({weekly('category_name')}) WHERE {LAST_WEEK}""",
     "week_snapshot_weekday": f"""SELECT transaction_weekday_nm, wow_sales_increase_rate,
       wow_transaction_ct_increase_rate, wow_active_acct_ct FROM ({WEEKDAY}) WHERE {LAST_WEEK}""",
+    "latest_category_weeks": f"""SELECT * FROM ({weekly('category_name')})
+      ORDER BY first_day_of_the_week DESC, category_name DESC LIMIT 15""",
     "app_week": APP_WEEK,
     "week_leaders": without_latest(
         leaders("app_weekly_sales_rank", "app_weekly_transaction_ct_rank")
@@ -669,6 +671,7 @@ ROLE_QUERIES = {
         cardinality("inapp", "type"), cardinality("category", "category_name"),
         cardinality("device", "device_name"),
     ]),
+    "content_types": "SELECT DISTINCT type FROM inapp_role",
     "csv_input_round_trip": "SELECT * FROM transaction_role",
 }
 

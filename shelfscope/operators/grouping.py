@@ -87,6 +87,12 @@ def share_of_total(part: str) -> Column:
     return ratio(F.col(part), F.sum(part).over(Window.partitionBy()))
 
 
+def money_share(part: str) -> Column:
+    """Share in a total of money, added exactly. For aggregates with few rows."""
+    exact = F.col(part).cast("decimal(18,2)")
+    return ratio(F.col(part), F.sum(exact).over(Window.partitionBy()))
+
+
 def share_of_group(part: str, *keys: str) -> Column:
     return ratio(F.col(part), F.sum(part).over(Window.partitionBy(*keys)))
 

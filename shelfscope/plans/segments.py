@@ -11,6 +11,7 @@ from shelfscope.operators.grouping import (
     frequencies,
     group_present,
     index_to_lowest,
+    money_share,
     share_of_group,
     share_of_total,
 )
@@ -29,7 +30,7 @@ def _with_shares(amounts: DataFrame) -> DataFrame:
     return amounts.withColumns(
         {
             "transaction_share": share_of_total("total_transaction_ct"),
-            "revenue_share": share_of_total("total_revenue"),
+            "revenue_share": money_share("total_revenue"),
             "avg_transaction_amt_index": index_to_lowest("avg_transaction_amt"),
         }
     ).withColumn("total_transaction_ct", F.col("total_transaction_ct").cast("double"))
@@ -112,7 +113,7 @@ def tenure_performance(final: DataFrame) -> DataFrame:
             {
                 "transaction_share": share_of_total("transaction_ct"),
                 "free_transaction_share": share_of_total("free_transaction_ct"),
-                "revenue_share": share_of_total("revenue"),
+                "revenue_share": money_share("revenue"),
             }
         )
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.market import Market
 from shelfscope.operators.checks import distinct_values
-from shelfscope.operators.ordering import top_rows
+from shelfscope.operators.ordering import last_rows, top_rows
 from shelfscope.operators.profile import describe
 from shelfscope.plans import (
     accounts,
@@ -28,6 +28,31 @@ from shelfscope.sources.kept import shared_folder
 
 Report = Callable[[Market], DataFrame]
 
+# Name of each output table and the report behind it.
+OUTPUTS = {
+    "paid": "paid_share",
+    "account_summary": "account_summary",
+    "tenure_txn": "tenure_activity",
+    "performance_daily": "performance_daily",
+    "performance_daily_category": "performance_daily_category",
+    "performance_weekday_overall": "performance_weekday_overall",
+    "performance_week": "performance_week",
+    "performance_week_category": "performance_week_category",
+    "performance_weekday": "performance_weekday",
+    "app_week": "app_week",
+    "category_summary": "category_summary",
+    "device_summary": "device_summary",
+    "app_device": "apps_by_device",
+    "device_summary2": "device_summary_both",
+    "payment1": "payment_summary",
+    "payment2": "payment_paid_summary",
+    "app_summary": "app_content_summary",
+    "subscription_summary": "subscription_summary",
+    "subscription_category": "subscription_category",
+    "subscription_pivot_summary": "repeat_purchase_by_type",
+    "repeat_purchase_summary": "repeat_purchase_summary",
+}
+
 
 def round_trip(df: DataFrame, fmt: str) -> DataFrame:
     """Write a table below the shared folder and scan it again with its schema."""
@@ -112,7 +137,13 @@ def _account_reports() -> dict[str, Report]:
 
 
 def _trend_reports() -> dict[str, Report]:
+    def latest(m: Market) -> DataFrame:
+        keys = ["first_day_of_the_week", "category_name"]
+        weeks = trends.performance_week_category(m.final)
+        return last_rows(weeks, 15, [F.asc(k) for k in keys], [F.desc(k) for k in keys])
+
     return {
+        "latest_category_weeks": latest,
         "txn_by_month": lambda m: trends.txn_by(m.final, "transaction_year_month"),
         "txn_by_price_band": lambda m: trends.txn_by(m.final, "price_band"),
         "txn_by_tenure": lambda m: trends.txn_by_tenure(m.final),
@@ -236,6 +267,7 @@ def _quality_reports() -> dict[str, Report]:
         "column_report": lambda m: quality.column_report(m.roles),
         "ambiguous_app_names": lambda m: quality.ambiguous_app_names(m.roles),
         "transaction_period": lambda m: quality.transaction_period(m.roles),
+        "content_types": lambda m: distinct_values(m.roles.inapp, "type"),
         "input_cardinalities": lambda m: quality.input_cardinalities(m.roles),
         "orphan_accounts": lambda m: quality.orphan_accounts(m.resolved, m.roles),
         "row_count_report": lambda m: quality.row_count_report(
@@ -260,3 +292,12 @@ def reports() -> dict[str, Report]:
         **_subscription_reports(),
         **_quality_reports(),
     }
+
+
+def write_outputs(market: Market, folder: str, fmt: str = "csv") -> dict[str, str]:
+    """Write every output table to a folder of its own; gives their paths."""
+    known = reports()
+    paths = {output: f"{folder}/{output}" for output in OUTPUTS}
+    for output, report in OUTPUTS.items():
+        write_table(known[report](market), paths[output], fmt)
+    return paths

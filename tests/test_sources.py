@@ -2,6 +2,7 @@ import pytest
 from helpers import day, make_roles, rows
 from shelfscope import Market, Rules, read_roles, read_table, write_table
 from shelfscope.plans import quality, trends
+from shelfscope.reports import OUTPUTS, reports, write_outputs
 from shelfscope.schemas import INPUT_FILES, TRANSACTION
 from shelfscope.sources.kept import CHECKPOINT_DIR, KeptTables, shared_folder
 
@@ -67,3 +68,15 @@ def test_shared_folder_is_the_session_setting(spark, tmp_path):
     before = spark.conf.get(CHECKPOINT_DIR, None)
     folder = shared_folder(spark)
     assert folder == (before.rstrip("/") if before else folder)
+
+
+def test_all_outputs_are_written(spark, small, tmp_path):
+    import __spark_entry__ as registered
+
+    market = registered.market(spark, small)
+    paths = write_outputs(market, str(tmp_path))
+    assert len(paths) == len(OUTPUTS) == 21
+    known = reports()
+    for output, path in paths.items():
+        df = known[OUTPUTS[output]](market)
+        assert rows(read_table(spark, path, df.schema)) == rows(df), output
