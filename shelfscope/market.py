@@ -99,6 +99,11 @@ class Market:
     def app_week_counts(self) -> DataFrame:
         return self._get("app_week_counts", lambda: leaders.app_week_counts(self.final))
 
+    @property
+    def app_week(self) -> DataFrame:
+        """Ranked apps by week."""
+        return self._get("app_week", lambda: leaders.app_week(self.app_week_counts))
+
     @property
     def subscription(self) -> DataFrame:
         return subscriptions.subscription_transactions(self.final, self.rules.not_subscription)

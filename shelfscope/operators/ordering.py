@@ -37,36 +37,49 @@ def magnitude(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 8)).cast("int")
 
 
+def _value_ranks(df: DataFrame, value: str, names: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Ranks of the distinct values of each finest group."""
+    finest = list(dict.fromkeys(key for keys in names.values() for key in keys))
+    ties = (
+        df.groupBy(*finest, value)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("slice", magnitude(F.col(value)))
+    )
+    heads = ties.groupBy(*finest, "slice").agg(F.sum("n").alias("n"))
+    for name, keys in names.items():
+        higher = (
+            Window.partitionBy(*keys)
+            .orderBy(F.desc("slice"))
+            .rangeBetween(Window.unboundedPreceding, -1)
+        )
+        heads = heads.withColumn(f"{name}_above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    placed = ties.join(F.broadcast(heads.drop("n")), [*finest, "slice"])
+    for name, keys in names.items():
+        mine = Window.partitionBy(*keys, "slice")
+        reached = mine.orderBy(F.desc(value)).rangeBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        equal = Window.partitionBy(*keys, "slice", value)
+        rank = F.col(f"{name}_above") + F.sum("n").over(reached) - F.sum("n").over(equal) + 1
+        placed = placed.withColumn(name, rank.cast("int"))
+    return placed.select(*finest, value, *names)
+
+
 def with_min_ranks(df: DataFrame, ranks: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
     """Add ranks from the highest value down; equal values share the smallest rank.
 
     ``ranks`` maps a value to the names of its ranks and their groups: few groups, each with
     any number of rows, and no missing keys or values. A window over a whole group would put
-    it into one task. Here a group is cut into slices by magnitude: rows are ranked within
-    their slice, and the rows in higher slices are added. The table of slices has some hundred
-    rows per group, whatever the number of rows, which is why it may be broadcast. Per value
-    there is one shuffle of the rows if the first group is the widest. ``df`` is read once
-    more per value, so it should be a stored table.
+    it into one task. Here equal values of a group collapse to a count, the distinct values
+    are ordered within slices of their magnitude, and every row looks its rank up by value.
+    The totals of the slices, some hundred per group whatever the number of rows, are
+    broadcast. ``df`` is read once more per value, so it should be a stored table.
     """
     ranked = df
     for value, names in ranks.items():
-        finest = list(dict.fromkeys(key for keys in names.values() for key in keys))
-        cut = magnitude(F.col(value))
-        heads = df.groupBy(*finest, cut.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-        for name, keys in names.items():
-            higher = (
-                Window.partitionBy(*keys)
-                .orderBy(F.desc("slice"))
-                .rangeBetween(Window.unboundedPreceding, -1)
-            )
-            heads = heads.withColumn(f"{name}_above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
-        ranked = ranked.withColumn("slice", cut).join(
-            F.broadcast(heads.drop("n")), [*finest, "slice"]
-        )
-        for name, keys in names.items():
-            within = F.rank().over(Window.partitionBy(*keys, "slice").orderBy(F.desc(value)))
-            ranked = ranked.withColumn(name, (F.col(f"{name}_above") + within).cast("int"))
-        ranked = ranked.drop("slice", *[f"{name}_above" for name in names])
+        found = _value_ranks(df, value, names)
+        keys = [c for c in found.columns if c not in names]
+        ranked = ranked.join(found, keys)
     return ranked
 
 

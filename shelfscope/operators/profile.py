@@ -19,13 +19,9 @@ NO_SLICE = -1_000_000
 
 def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, ct): all columns below each other, equal values collapsed."""
-    pairs = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-        for c in columns
-    ]
     return (
-        df.select(F.explode(F.array(*pairs)).alias("pair"))
-        .select("pair.*")
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        .unpivot([], list(columns), "column_name", "value")
         .groupBy("column_name", "value")
         .agg(F.count("value").alias("ct"))
     )

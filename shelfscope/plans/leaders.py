@@ -70,25 +70,25 @@ def app_week(counts: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(_category_weeks(counts)), category)
 
 
-def latest_week(counts: DataFrame) -> DataFrame:
-    """The last week only. Ranks never cross weeks, so it can be cut out before ranking."""
-    return counts.filter(F.col(WEEK) == counts.agg(F.max(WEEK)).scalar())
+def latest_week(ranked: DataFrame) -> DataFrame:
+    """Rows of the last week."""
+    return ranked.filter(F.col(WEEK) == ranked.agg(F.max(WEEK)).scalar())
 
 
 def _either_within(k: int, first: str, second: str) -> Column:
     return (F.col(first) <= k) | (F.col(second) <= k)
 
 
-def week_leaders(counts: DataFrame, k: int = 5) -> DataFrame:
+def week_leaders(ranked: DataFrame, k: int = 5) -> DataFrame:
     """Apps of the last week among the first ``k`` by sales or by purchases; ties stay."""
-    return app_week(latest_week(counts)).filter(
+    return latest_week(ranked).filter(
         _either_within(k, "app_weekly_sales_rank", "app_weekly_transaction_ct_rank")
     )
 
 
-def category_leaders(counts: DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
+def category_leaders(ranked: DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
     """Leaders of the last week within each category, best category first."""
-    best = app_week(latest_week(counts)).filter(
+    best = latest_week(ranked).filter(
         _either_within(
             k, "app_weekly_sales_rank_category", "app_weekly_transaction_ct_rank_category"
         )

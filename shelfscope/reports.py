@@ -179,10 +179,10 @@ def _trend_reports() -> dict[str, Report]:
             "transaction_weekday_nm",
             ["wow_sales_increase_rate", "wow_transaction_ct_increase_rate", "wow_active_acct_ct"],
         ),
-        "app_week": lambda m: leaders.app_week(m.app_week_counts),
-        "week_leaders": lambda m: leaders.week_leaders(m.app_week_counts),
-        "category_leaders": lambda m: leaders.category_leaders(m.app_week_counts),
-        "category_leaders_games": lambda m: leaders.category_leaders(m.app_week_counts, category="Games"),
+        "app_week": lambda m: m.app_week,
+        "week_leaders": lambda m: leaders.week_leaders(m.app_week),
+        "category_leaders": lambda m: leaders.category_leaders(m.app_week),
+        "category_leaders_games": lambda m: leaders.category_leaders(m.app_week, category="Games"),
         "performance_month": lambda m: trends.performance_month(m.final),
         "performance_month_without_spike": lambda m: trends.performance_month(
             m.final, [m.rules.spike_day]

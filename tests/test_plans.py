@@ -149,11 +149,11 @@ def test_week_ranks(spark):
         ("2016-07-05", "B", "u", 30, 1),
         ("2016-06-27", "B", "u", 10, 1),
     ]
-    counts = leaders.app_week_counts(market(spark, sold, ACCOUNTS).final)
-    got = rows(leaders.week_leaders(counts), "app_name", "app_weekly_sales_rank",
+    ranked = market(spark, sold, ACCOUNTS).app_week
+    got = rows(leaders.week_leaders(ranked), "app_name", "app_weekly_sales_rank",
                "category_weekly_sales_rank", "category_weekly_sales_dense_rank")
     assert got == [("App B", 1, 1, 1), ("Appa", 1, 1, 1)]
-    only = leaders.category_leaders(counts, category="Games")
+    only = leaders.category_leaders(ranked, category="Games")
     assert rows(only, "app_name", "app_weekly_sales_rank_category") == [("App B", 1)]
 
 
