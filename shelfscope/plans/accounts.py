@@ -20,6 +20,7 @@ from shelfscope.operators.grouping import (
 from shelfscope.operators.joins import lookup, without_ids
 from shelfscope.operators.profile import describe, histogram
 from shelfscope.plans.facts import account_dimension
+from shelfscope.plans.trends import in_week
 from shelfscope.schemas import (
     ACTIVE,
     CATEGORY_COLUMNS,
@@ -278,8 +279,7 @@ def accounts_by_payment_and_paid(summary: DataFrame, outliers: DataFrame) -> Dat
 
 def week_account_activity(final: DataFrame, account: DataFrame, week) -> DataFrame:
     """Every account with its revenue and purchases of one week."""
-    in_week = final.filter(F.col("first_day_of_the_week") == F.lit(week).cast("date"))
-    active = group_present(in_week, "acct_id").agg(
+    active = group_present(in_week(final, week), "acct_id").agg(
         money_sum().alias("total_revenue"), rows().alias("total_txn")
     )
     bought = F.col("total_txn").isNotNull()

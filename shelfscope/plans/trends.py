@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.dates import days_seen_in_month, days_seen_in_week
+from shelfscope.functions.dates import days_seen_in_month, days_seen_in_week, year_month
 from shelfscope.functions.numbers import money_sum, ratio, rows
 from shelfscope.operators.grouping import (
     fill_bands,
@@ -24,6 +24,25 @@ def _day(value):
     return F.lit(value).cast("date")
 
 
+def on_day(final: DataFrame, day) -> DataFrame:
+    """Purchases of one day. Naming the month too skips the other months' folders."""
+    wanted = _day(day)
+    return final.filter(
+        (F.col("transaction_dt") == wanted)
+        & (F.col("transaction_year_month") == year_month(wanted))
+    )
+
+
+def in_week(final: DataFrame, week) -> DataFrame:
+    """Purchases of the week that starts on a Monday, read from its one or two months."""
+    first, last = _day(week), F.date_add(_day(week), 6)
+    return final.filter(
+        (F.col("first_day_of_the_week") == first)
+        & F.col("transaction_dt").between(first, last)
+        & F.col("transaction_year_month").between(year_month(first), year_month(last))
+    )
+
+
 def txn_by(final: DataFrame, column: str) -> DataFrame:
     """Purchases per value, most frequent first."""
     return value_counts(final, column, "transaction_ct")
@@ -87,9 +106,7 @@ def performance_daily_category(final: DataFrame) -> DataFrame:
 
 def day_app_leaders(final: DataFrame, day, k: int | None = 5) -> DataFrame:
     """Apps of one day by revenue, then purchases; all of them without ``k``."""
-    counted = group_present(
-        final.filter(F.col("transaction_dt") == _day(day)), "parent_app_content_id", "app_name"
-    ).agg(
+    counted = group_present(on_day(final, day), "parent_app_content_id", "app_name").agg(
         F.countDistinct("acct_id").alias("active_acct"),
         money_sum().alias("revenue_by_app"),
         rows().alias("txn_by_app"),

@@ -21,7 +21,7 @@ INAPPS = [
 
 def market(spark, transaction, account=(), **rules):
     roles = make_roles(spark, transaction, account, APPS, INAPPS)
-    return Market(spark, roles, Rules(**rules), keep=False)
+    return Market(spark, roles, Rules(**rules))
 
 
 def test_app_dimension_keeps_both_sides(spark):
@@ -254,3 +254,13 @@ def test_every_account_appears_once(spark, small):
     summary = m.account_summary
     assert summary.count() == summary.select("acct_id").distinct().count()
     assert summary.count() == m.roles.account.count()
+
+
+def test_lazy_tables_give_the_same_reports(spark, small):
+    import __spark_entry__ as registered
+    from shelfscope import roles_from_star
+
+    kept = registered.market(spark, small)
+    lazy = Market(spark, roles_from_star(spark, small), registered.RULES, keep=False)
+    assert rows(trends.performance_week(lazy.final)) == rows(trends.performance_week(kept.final))
+    assert rows(lazy.outliers) == rows(kept.outliers)

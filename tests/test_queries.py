@@ -48,14 +48,20 @@ def test_fact_scan_prunes_columns_and_months(spark, small):
     assert re.search(r"PartitionFilters: \[.*2016-07", plan)
 
 
-def test_day_filter_reaches_the_scan(spark, small):
-    plan = (
-        registered.queries()["day_app_leaders"](spark, small)
-        ._jdf.queryExecution()
-        .executedPlan()
-        .toString()
+@pytest.mark.parametrize(
+    ("name", "pushed", "pruned"),
+    [
+        ("day_app_leaders", "EqualTo(transaction_dt,2016-07-04)", "= 2016-07"),
+        ("week_account_activity", "GreaterThanOrEqual(transaction_dt,2016-09-12)", ">= 2016-09"),
+    ],
+)
+def test_day_and_week_filters_reach_the_scan(spark, small, name, pushed, pruned):
+    df = registered.queries()[name](spark, small)
+    plan = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
-    assert "EqualTo(transaction_dt,2016-07-04)" in plan
+    assert pushed in plan
+    assert re.search(r"PartitionFilters: \[.*" + re.escape(pruned), plan)
 
 
 def test_large_sides_are_not_forced_to_broadcast(spark, small):
