@@ -395,7 +395,9 @@ PAYMENT_MEASURES = f"""CAST(SUM(CAST(total_revenue AS DECIMAL(18,2))) AS DOUBLE)
   CAST(SUM(total_txn) AS BIGINT) AS total_txn, COUNT(acct_id) AS total_acct_ct,
   {div('SUM(total_txn)', 'COUNT(acct_id)')} AS avg_txn"""
 
-CONTENT_SHARE = f"""SELECT *, {div('app_ct', 'SUM(app_ct) OVER (PARTITION BY category_name)')}
+CONTENT_SHARE = f"""SELECT *, CAST(SUM(app_ct) OVER (PARTITION BY category_name) AS BIGINT)
+    AS category_app_ct, CAST(SUM(app_ct) OVER () AS BIGINT) AS total_app_ct,
+    {div('app_ct', 'SUM(app_ct) OVER (PARTITION BY category_name)')}
     AS category_app_share, {div('app_ct', 'SUM(app_ct) OVER ()')} AS total_app_share
   FROM (SELECT category_name, inapp_content_type,
       COUNT(DISTINCT parent_app_content_id) AS app_ct, COUNT(DISTINCT content_id) AS content_ct
@@ -434,6 +436,7 @@ TENURE_PERFORMANCE = filled_tenure(
 )
 
 WEEK_ACCOUNTS = f"""SELECT acct_id, account_create_dt, payment_type,
+    CASE WHEN total_txn IS NOT NULL THEN DATE '2016-09-12' END AS first_day_of_the_week,
     COALESCE(total_revenue, 0) AS total_revenue, COALESCE(total_txn, 0) AS total_txn,
     CASE WHEN total_revenue > 0 THEN 'Purchased Paid App' WHEN total_txn IS NULL THEN 'Dormant'
       ELSE 'Free Only' END AS paid_acct_flag,

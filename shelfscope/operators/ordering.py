@@ -53,7 +53,7 @@ def _value_ranks(df: DataFrame, value: str, names: Mapping[str, Sequence[str]])
             .rangeBetween(Window.unboundedPreceding, -1)
         )
         heads = heads.withColumn(f"{name}_above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
-    placed = ties.join(F.broadcast(heads.drop("n")), [*finest, "slice"])
+    placed = ties.join(heads.drop("n"), [*finest, "slice"])
     for name, keys in names.items():
         mine = Window.partitionBy(*keys, "slice")
         reached = mine.orderBy(F.desc(value)).rangeBetween(
@@ -72,8 +72,8 @@ def with_min_ranks(df: DataFrame, ranks: Mapping[str, Mapping[str, Sequence[str]
     any number of rows, and no missing keys or values. A window over a whole group would put
     it into one task. Here equal values of a group collapse to a count, the distinct values
     are ordered within slices of their magnitude, and every row looks its rank up by value.
-    The totals of the slices, some hundred per group whatever the number of rows, are
-    broadcast. ``df`` is read once more per value, so it should be a stored table.
+    Only the totals of the slices, some hundred per group whatever the number of rows, meet in
+    one task. ``df`` is read once more per value, so it should be a stored table.
     """
     ranked = df
     for value, names in ranks.items():

@@ -62,7 +62,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = counted.join(F.broadcast(slices), ["column_name", "slice"]).withColumn(
+    placed = counted.join(slices, ["column_name", "slice"]).withColumn(
         "reached", F.col("below") + F.sum("ct").over(upto)
     )
 

@@ -290,6 +290,7 @@ def week_account_activity(final: DataFrame, account: DataFrame, week) -> DataFra
         "acct_id",
         "account_create_dt",
         "payment_type",
+        F.when(bought, F.lit(week).cast("date")).alias("first_day_of_the_week"),
         F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue"),
         F.coalesce("total_txn", F.lit(0)).alias("total_txn"),
         paid.alias("paid_acct_flag"),

@@ -67,7 +67,7 @@ def app_week(counts: DataFrame) -> DataFrame:
             },
         },
     )
-    return ranked.join(F.broadcast(_category_weeks(counts)), category)
+    return ranked.join(_category_weeks(counts), category)
 
 
 def latest_week(ranked: DataFrame) -> DataFrame:

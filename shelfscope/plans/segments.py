@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numbers import money_sum, ratio, rows
@@ -85,6 +85,8 @@ def app_content_summary(app_dim: DataFrame) -> DataFrame:
     )
     return counted.withColumns(
         {
+            "category_app_ct": F.sum("app_ct").over(Window.partitionBy("category_name")),
+            "total_app_ct": F.sum("app_ct").over(Window.partitionBy()),
             "category_app_share": share_of_group("app_ct", "category_name"),
             "total_app_share": share_of_total("app_ct"),
         }

@@ -24,7 +24,7 @@ from shelfscope.plans import (
 )
 from shelfscope.schemas import TRANSACTION
 from shelfscope.sources.files import read_table, write_table
-from shelfscope.sources.kept import shared_folder
+from shelfscope.sources.kept import CHECKPOINT_DIR, shared_folder
 
 Report = Callable[[Market], DataFrame]
 
@@ -57,7 +57,10 @@ OUTPUTS = {
 def round_trip(df: DataFrame, fmt: str) -> DataFrame:
     """Write a table below the shared folder and scan it again with its schema."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    path = f"{folder}/round-trip-{uuid.uuid4().hex}"
     write_table(df, path, fmt)
     return read_table(spark, path, df.schema, fmt)
 
