@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfscope.plans import accounts, facts, leaders, pricing, subscriptions
 from shelfscope.rules import Rules
 from shelfscope.sources.files import Roles
-from shelfscope.sources.kept import KeptTables
+from shelfscope.sources.kept import KeptTables, clustered
+
+MONTH = "transaction_year_month"
 
 
 class Market:
@@ -87,13 +89,18 @@ class Market:
 
     @property
     def final(self) -> DataFrame:
-        """The fact nearly all reports read: months are partitions, days lie together in files."""
-        return self._get(
-            "final",
-            lambda: facts.final_fact(self.resolved, self.account_traits),
-            partition_by=["transaction_year_month"],
-            cluster_by=["transaction_dt"],
-        )
+        """The fact nearly all reports read: months are folders, days lie together in files.
+
+        Rows are brought together before the attributes that follow from a row are added.
+        """
+
+        def build() -> DataFrame:
+            purchases = facts.ordinary_purchases(self.resolved, self.account_traits)
+            if self._kept:
+                purchases = clustered(purchases, "transaction_dt", within=[MONTH])
+            return facts.final_fact(purchases, self.account_traits)
+
+        return self._get("final", build, partition_by=[MONTH])
 
     @property
     def app_week_counts(self) -> DataFrame:

@@ -119,13 +119,33 @@ def transaction_fact(resolved: DataFrame, account: DataFrame) -> DataFrame:
     )
 
 
-def final_fact(resolved: DataFrame, traits: DataFrame) -> DataFrame:
-    """Purchases of ordinary accounts, with calendar, tenure, band and price attributes.
+def ordinary_purchases(resolved: DataFrame, traits: DataFrame) -> DataFrame:
+    """Purchases of accounts that are no outliers, with what is known of the account.
 
     ``traits`` holds one row per buying account, so account attributes, account group, paid
     flag and outlier mark arrive in a single join of the purchases, and none needs a window
     over an account's purchases. One join also leaves Spark free to split the partition of an
-    account with very many purchases. The edges of the tenure bands follow from ``traits`` too.
+    account with very many purchases.
+    """
+    known = lookup(resolved, traits.drop("first_dt", "last_dt"), "acct_id")
+    return (
+        known.filter(~F.coalesce("is_outlier", F.lit(False)))
+        .drop("is_outlier")
+        .select(
+            *resolved.columns,
+            "account_create_dt",
+            "payment_type",
+            "acct_txn_group",
+            F.coalesce("paid_acct_flag", F.lit(0)).alias("paid_acct_flag"),
+            dates.year_month(F.col("transaction_dt")).alias("transaction_year_month"),
+        )
+    )
+
+
+def final_fact(purchases: DataFrame, traits: DataFrame) -> DataFrame:
+    """Ordinary purchases with calendar, tenure, band and price attributes.
+
+    The edges of the tenure bands are those of the purchases, but follow from ``traits``.
     """
     edges = (
         traits.filter(~F.col("is_outlier"))
@@ -137,40 +157,24 @@ def final_fact(resolved: DataFrame, traits: DataFrame) -> DataFrame:
         )
         .scalar()
     )
-    known = traits.drop("first_dt", "last_dt")
-    kept = lookup(resolved, known, "acct_id").filter(~F.coalesce("is_outlier", F.lit(False)))
     day = F.col("transaction_dt")
-    rows = kept.drop("is_outlier").withColumns(
+    days = F.datediff(day, "account_create_dt")
+    months = dates.months_in(days)
+    lowest, highest = dates.months_in(edges["lowest"]), dates.months_in(edges["highest"])
+    return purchases.withColumns(
         {
-            "transaction_year_month": dates.year_month(day),
             "transaction_year": F.year(day),
             "transaction_month": F.month(day),
             "transaction_weekday": dates.weekday_number(day),
             "transaction_weekday_nm": dates.weekday_name(day),
             "transaction_week": dates.iso_week(day),
             "first_day_of_the_week": dates.week_start(day),
-            "acct_tenure_days": F.datediff(day, "account_create_dt"),
+            "acct_tenure_days": days,
+            "acct_tenure_months": months,
+            "acct_tenure_years": dates.years_in(days),
+            "tenure_band": tenure_band(months, lowest, highest),
             "transaction_without_acct": flag(day < F.col("account_create_dt")),
             "free_transaction_flag": flag(F.col("price") == 0),
             "price_band": price_band(F.col("price")),
-            "paid_acct_flag": F.coalesce("paid_acct_flag", F.lit(0)),
-        }
-    )
-    months = dates.months_in(F.col("acct_tenure_days"))
-    added = [c for c in rows.columns if c not in resolved.columns and c not in known.columns]
-    return rows.withColumns(
-        {
-            "acct_tenure_months": months,
-            "acct_tenure_years": dates.years_in(F.col("acct_tenure_days")),
-            "tenure_band": tenure_band(
-                months, dates.months_in(edges["lowest"]), dates.months_in(edges["highest"])
-            ),
         }
-    ).select(
-        *resolved.columns,
-        *[c for c in known.columns if c not in ("acct_id", "is_outlier")],
-        *added,
-        "acct_tenure_months",
-        "acct_tenure_years",
-        "tenure_band",
     )

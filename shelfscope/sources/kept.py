@@ -28,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str | None:
     return None
 
 
+def clustered(df: DataFrame, *by: str, within: Sequence[str] = ()) -> DataFrame:
+    """Bring equal values together in partitions of the session's advisory size.
+
+    A value with more rows fills several partitions, small ones share one. Written, this lets a
+    filter on the value skip files. ``within`` are the folders the files will go to.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*within, *by)
+
+
 class KeptTables:
     """Names to tables. Without a shared folder tables stay lazy, which is slower but right."""
 
@@ -38,33 +47,15 @@ class KeptTables:
         self._tables: dict[str, DataFrame] = {}
 
     def get(
-        self,
-        name: str,
-        build: Callable[[], DataFrame],
-        partition_by: Sequence[str] = (),
-        cluster_by: Sequence[str] = (),
+        self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
     ) -> DataFrame:
-        """The table, built and written at the first call.
-
-        ``cluster_by`` brings equal values together in files of the session's advisory
-        partition size (a value with more rows fills several files, small ones share one), so
-        that a filter on it skips files within a partition.
-        """
+        """The table, built and written at the first call."""
         if name not in self._tables:
             table = build()
             if self._folder:
-                table = self._written(name, table, partition_by, cluster_by)
+                path = f"{self._folder}/{name}"
+                table.write.partitionBy(*partition_by).parquet(path)
+                read = self._spark.read.schema(table.schema).parquet(path)
+                table = read.select(*table.columns)
             self._tables[name] = table
         return self._tables[name]
-
-    def _written(
-        self, name: str, table: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str]
-    ) -> DataFrame:
-        path = f"{self._folder}/{name}"
-        rows = table
-        if cluster_by:
-            rows = table.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(
-                *partition_by, *cluster_by
-            )
-        rows.write.partitionBy(*partition_by).parquet(path)
-        return self._spark.read.schema(table.schema).parquet(path).select(*table.columns)

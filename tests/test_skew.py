@@ -81,7 +81,7 @@ def test_hot_partitions_are_split(spark, hot, tmp_path):
         spark.conf.set(key, value)
     try:
         joins = {
-            "account": facts.final_fact(resolved, traits),
+            "account": facts.final_fact(facts.ordinary_purchases(resolved, traits), traits),
             "price": pricing.priced_transactions(final, prices),
             "content": facts.lookup(
                 resolved.select("transaction_content_id", "acct_id", "price"),

@@ -4,7 +4,7 @@ from shelfscope import Market, Rules, read_roles, read_table, write_table
 from shelfscope.plans import quality, trends
 from shelfscope.reports import OUTPUTS, reports, write_outputs
 from shelfscope.schemas import INPUT_FILES, TRANSACTION
-from shelfscope.sources.kept import CHECKPOINT_DIR, KeptTables, shared_folder
+from shelfscope.sources.kept import CHECKPOINT_DIR, KeptTables, clustered, shared_folder
 
 FILES = {
     "transaction_dat.csv": "create_dt,content_id,acct_id,price,device_id\n"
@@ -53,10 +53,11 @@ def test_kept_tables_are_built_once_and_read_from_files(spark, tmp_path):
 
     def build():
         built.append(1)
-        return spark.range(5).selectExpr("id", "cast(id % 2 as string) as part")
+        numbered = spark.range(5).selectExpr("id", "cast(id % 2 as string) as part")
+        return clustered(numbered, "id", within=["part"])
 
     tables = KeptTables(spark, str(tmp_path))
-    first = tables.get("t", build, partition_by=["part"], cluster_by=["id"])
+    first = tables.get("t", build, partition_by=["part"])
     again = tables.get("t", build)
     assert built == [1]
     assert first.columns == ["id", "part"]
