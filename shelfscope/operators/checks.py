@@ -79,7 +79,9 @@ def period(df: DataFrame, day: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.countDistinct(c).alias(f"{c}_ct") for c in columns])
+    """Distinct values per column."""
+    counts = df.agg(*[F.countDistinct(c).alias(c) for c in columns])
+    return counts.unpivot([], list(columns), "column_name", "distinct_ct")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -87,6 +87,8 @@ def top_rows(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def last_rows(df: DataFrame, k: int, order: Sequence[Column], reverse: Sequence[Column]) -> DataFrame:
+def last_rows(
+    df: DataFrame, k: int, order: Sequence[Column], reverse: Sequence[Column]
+) -> DataFrame:
     """The last ``k`` rows of an ordering, in that ordering."""
     return df.orderBy(*reverse).limit(k).orderBy(*order)

@@ -76,8 +76,9 @@ def revenue_by_account_category(
     return spread.select("acct_id", *[F.col(c).cast("double").alias(c) for c in columns.values()])
 
 
-def _tenure(df: DataFrame, until: Column, lowest: Column | None, highest: Column | None,
-            labels: Sequence[str]) -> DataFrame:
+def _tenure(
+    df: DataFrame, until: Column, lowest: Column, highest: Column, labels: Sequence[str]
+) -> DataFrame:
     days = F.datediff(until, "account_create_dt")
     months = dates.months_in(F.col("acct_tenure_days"))
     return df.withColumn("acct_tenure_days", days).withColumns(
@@ -103,7 +104,9 @@ def account_summary(
     accounts = account_dimension(account)
     until = activity.agg(F.max("last_dt")).scalar()
     opened = accounts.agg(
-        F.struct(F.min("account_create_dt").alias("first"), F.max("account_create_dt").alias("last"))
+        F.struct(
+            F.min("account_create_dt").alias("first"), F.max("account_create_dt").alias("last")
+        )
     ).scalar()
     joined = lookup(accounts, activity.drop("first_dt", "last_dt"), "acct_id")
     bought = F.col("total_txn").isNotNull()

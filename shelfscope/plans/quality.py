@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators import checks
 from shelfscope.operators.joins import row_counts
-from shelfscope.plans.facts import app_dimension, distinct_transactions, transaction_fact
+from shelfscope.plans.facts import distinct_transactions, transaction_fact
 from shelfscope.sources.files import Roles
 
 
@@ -51,12 +51,7 @@ def input_cardinalities(roles: Roles) -> DataFrame:
     }
     tables = roles.tables()
     return checks.labelled(
-        {
-            name: tables[name]
-            .agg(*[F.countDistinct(c).alias(c) for c in columns])
-            .unpivot([], columns, "column_name", "distinct_ct")
-            for name, columns in wanted.items()
-        },
+        {name: checks.distinct_counts(tables[name], columns) for name, columns in wanted.items()},
         "table_name",
     )
 
@@ -94,6 +89,3 @@ def row_count_report(roles: Roles, resolved: DataFrame, summary: DataFrame) -> D
     }
     return checks.labelled(steps, "step")
 
-
-def app_dimension_of(roles: Roles) -> DataFrame:
-    return app_dimension(roles.app, roles.inapp, roles.category, roles.device)

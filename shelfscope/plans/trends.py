@@ -33,6 +33,15 @@ def on_day(final: DataFrame, day) -> DataFrame:
     )
 
 
+def up_to(final: DataFrame, day) -> DataFrame:
+    """Purchases until the end of a day, for changes that only look back from it."""
+    wanted = _day(day)
+    return final.filter(
+        (F.col("transaction_dt") <= wanted)
+        & (F.col("transaction_year_month") <= year_month(wanted))
+    )
+
+
 def in_week(final: DataFrame, week) -> DataFrame:
     """Purchases of the week that starts on a Monday, read from its one or two months."""
     first, last = _day(week), F.date_add(_day(week), 6)
@@ -146,7 +155,7 @@ def daily_app_performance(final: DataFrame) -> DataFrame:
     )
 
 
-def day_movers(daily_apps: DataFrame, day, by: str, k: int = 10) -> DataFrame:
+def day_movers(final: DataFrame, day, by: str, k: int = 10) -> DataFrame:
     """Apps that gained most on one day; ``by`` is ``txn`` or ``revenue``."""
     order = [
         F.desc_nulls_last(f"app_{by}_change"),
@@ -154,6 +163,7 @@ def day_movers(daily_apps: DataFrame, day, by: str, k: int = 10) -> DataFrame:
         F.asc("parent_app_content_id"),
         F.asc("app_name"),
     ]
+    daily_apps = daily_app_performance(up_to(final, day))
     return top_rows(daily_apps.filter(F.col("transaction_dt") == _day(day)), k, order)
 
 

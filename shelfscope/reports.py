@@ -157,12 +157,8 @@ def _trend_reports() -> dict[str, Report]:
         "performance_daily_category": lambda m: trends.performance_daily_category(m.final),
         "day_app_leaders": lambda m: trends.day_app_leaders(m.final, m.rules.spike_day),
         "daily_app_performance": lambda m: trends.daily_app_performance(m.final),
-        "day_movers_txn": lambda m: trends.day_movers(
-            trends.daily_app_performance(m.final), m.rules.spike_day, "txn"
-        ),
-        "day_movers_revenue": lambda m: trends.day_movers(
-            trends.daily_app_performance(m.final), m.rules.spike_day, "revenue"
-        ),
+        "day_movers_txn": lambda m: trends.day_movers(m.final, m.rules.spike_day, "txn"),
+        "day_movers_revenue": lambda m: trends.day_movers(m.final, m.rules.spike_day, "revenue"),
         "performance_weekday_overall": lambda m: trends.performance_weekday_overall(m.final),
         "performance_week": lambda m: trends.performance_week(m.final),
         "performance_week_category": lambda m: trends.performance_week_category(m.final),

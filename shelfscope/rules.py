@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -17,8 +17,6 @@ class Rules:
     max_revenue: float = 10000
     max_transactions: int = 1000
     low_limit: int = 101
-    low_revenue_cut: float = 2000
-    low_transaction_cut: int = 400
     retention: float = 0.6
     z: float = 1.96
     spike_day: dt.date = dt.date(2016, 7, 4)
@@ -26,6 +24,3 @@ class Rules:
     short_week: dt.date = dt.date(2016, 8, 22)
     months: tuple[str, ...] = ("2016-06", "2016-07", "2016-08", "2016-09")
     not_subscription: tuple[str, ...] = ("Games", "Social Networking")
-    tested_categories: tuple[str, ...] = field(
-        default=("Entertainment", "Utilities", "Photos & Videos")
-    )

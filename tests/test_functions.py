@@ -97,7 +97,8 @@ def test_average_month_and_year(spark):
 
 def test_zero_divisor_gives_null(spark):
     df = spark.createDataFrame([(5.0, 0.0), (0.0, 0.0), (6.0, 3.0)], "a double, b double")
-    got = [tuple(r) for r in df.select(numbers.ratio("a", "b"), numbers.change_rate("a", "b")).collect()]
+    both = df.select(numbers.ratio("a", "b"), numbers.change_rate("a", "b"))
+    got = [tuple(r) for r in both.collect()]
     assert got == [(None, None), (None, None), (2.0, 1.0)]
 
 

@@ -9,7 +9,8 @@ from shelfscope.sources.kept import CHECKPOINT_DIR, KeptTables, clustered, share
 FILES = {
     "transaction_dat.csv": "create_dt,content_id,acct_id,price,device_id\n"
     "2016-07-04,c1,u,4.99,1\n2016-07-04,c1,u,4.99,1\n2016-07-05,A,v,0,2\n",
-    "account_dat.csv": "acct_id,create_dt,payment_type\nu,2015-01-01,PMOF\nv,2016-01-01,Free only\n",
+    "account_dat.csv": "acct_id,create_dt,payment_type\n"
+    "u,2015-01-01,PMOF\nv,2016-01-01,Free only\n",
     "app_dat.csv": "content_id,app_name,category_id,device_id\nA,app-a,1,3\n",
     "in-app_dat.csv": "parent_app_content_id,content_id,type\nA,c1,consumable\n",
     "category_ref.csv": "category_id,category_name\n1,Games\n",
@@ -41,7 +42,8 @@ def test_csv_values_that_do_not_fit_are_errors(spark, tmp_path):
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_write_and_read_again(spark, tmp_path, fmt):
-    roles = make_roles(spark, [("2016-07-01", "c,\"1\"", "u", "1.50", 1), ("2016-07-02", "c", None, None, 2)])
+    sold = [("2016-07-01", 'c,"1"', "u", "1.50", 1), ("2016-07-02", "c", None, None, 2)]
+    roles = make_roles(spark, sold)
     path = str(tmp_path / fmt)
     write_table(roles.transaction, path, fmt)
     write_table(roles.transaction, path, fmt)
