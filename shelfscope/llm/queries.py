@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import packing, token_store, warc
+from shelfscope.llm import line_templates, packing, quality_rules, substrings, token_store, warc
 from shelfscope.llm.shared import new_folder
 
 
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and distribution divergence of all documents."""
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
 def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
     """Write all documents as directly addressable codes, and read the files back."""
     path = new_folder(spark, "tokens")
@@ -36,6 +41,18 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words that an earlier document has, removed from all documents."""
+    found = substrings.duplicate_spans(table(spark, folder, "documents"), window=50)
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", digest)
+
+
+def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without lines whose template recurs across documents."""
+    return line_templates.drop_lines(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pack all documents into sequences of powers of two."""
     tokenizer = vocabulary("word_bpe_49k.json")
@@ -65,8 +82,11 @@ FROM p JOIN s USING (payload) JOIN (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_token_store": op5_token_store,
     "op6_warc": op6_warc,
+    "op7_substrings": op7_substrings,
+    "op8_line_templates": op8_line_templates,
     "op10_packing": op10_packing,
 }
 SQL = {"op6_warc": OP6_SQL}
