@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import line_templates, packing, quality_rules, substrings, token_store, warc
+from shelfscope.llm import line_templates, near_dedup, packing, quality_rules, substrings, token_store, warc
 from shelfscope.llm.shared import new_folder
 
 
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near duplicates among all documents."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and distribution divergence of all documents."""
     return quality_rules.judge(table(spark, folder, "documents"))
@@ -82,6 +87,7 @@ FROM p JOIN s USING (payload) JOIN (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op5_token_store": op5_token_store,
     "op6_warc": op6_warc,
