@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,13 +26,14 @@ UNSPACED = re.compile(f"[^{WHITE}]+")
 # Apart from the blank and the line feed: white space, what str.split() takes for it, and the mark.
 RARE_ASCII = [chr(c) for c in (0, 9, 11, 12, 13, *range(0x1C, 0x20))]
 RARE = [chr(c) for c in WHITE_OTHER]
+TAILS = ".,;:!?"
 DOUBLED = ["  ", " \n", "\n ", "\n\n"]
 
 
 class Encoder:
     """Encodes texts; ``limit`` bounds the pieces held."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,10 +42,12 @@ class Encoder:
         self.limit = limit
         self.ids: dict[str, bytes] = {}
         self.keeps_space = self._ids([" a"]) != self._ids(["a"])
+        self.folds = self._ids(["A"]) == self._ids(["a"])
+        self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, ID_TYPE).tobytes() for e in encoded]
+        return [array("I", e.ids).tobytes() for e in encoded]
 
     def pieces(self, text: str) -> list[str]:
         plain = not any(c in text for c in RARE_ASCII)
@@ -62,20 +66,40 @@ class Encoder:
             return piece
         return piece[1:] if piece[:1] == "\0" else " " + piece
 
+    def _base(self, piece: str) -> str:
+        """The piece without its last mark, if the tokenizer takes that by itself."""
+        if piece[-1:] in TAILS and piece[-2:-1].isalpha():
+            piece = piece[:-1]
+        return piece.lower() if self.folds and piece.isascii() else piece
+
+    def _learn(self, missing: set[str]) -> None:
+        bases = {piece: self._base(piece) for piece in missing}
+        new = list(set(bases.values()).difference(self.ids))
+        word, blank = self.tokenizer.model.tokenize, "\u0120" if self.keeps_space else ""
+        rest = []
+        for piece in new:
+            # A run of ASCII letters is one pre-token, and byte-level spelling leaves letters as
+            # they are and writes a blank as U+0120, so the model can take it at once.
+            if piece.isascii() and piece.isalpha():
+                self.ids[piece] = array("I", [t.id for t in word(blank + piece)]).tobytes()
+            else:
+                rest.append(piece)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            self.ids.update(zip(some, self._ids([self._text(p) for p in some]), strict=True))
+        for piece, base in bases.items():
+            if piece is not base:
+                tail = self.tails[piece[-1]] if piece[-1:] in TAILS and len(piece) > len(base) else b""
+                self.ids[piece] = self.ids[base] + tail
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        missing = set()
-        for pieces in split:
-            missing.update(pieces)
-        missing.difference_update(self.ids)
+        missing = set().union(*split).difference(self.ids)
         if len(self.ids) + len(missing) > self.limit:
             self.ids = {}
             missing = set().union(*split)
-        new = list(missing)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.ids.update(zip(some, self._ids([self._text(p) for p in some]), strict=True))
+        self._learn(missing)
         get = self.ids.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
