@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import line_templates, near_dedup, packing, quality_rules, substrings, token_store, warc
+from shelfscope.llm import decontaminate, line_templates, near_dedup, packing, quality_rules, substrings, token_store, warc
 from shelfscope.llm.shared import new_folder
 
 
@@ -31,6 +31,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
     """Write all documents as directly addressable codes, and read the files back."""
     path = new_folder(spark, "tokens")
@@ -89,6 +94,7 @@ FROM p JOIN s USING (payload) JOIN (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
     "op6_warc": op6_warc,
     "op7_substrings": op7_substrings,

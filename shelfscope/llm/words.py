@@ -13,6 +13,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+APART = np.zeros(256, bool)
+APART[:128] = [not chr(c).isalnum() for c in range(128)]
 
 # Odd constants of the mixing functions.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -36,9 +38,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-space bytes, cut at the borders."""
-    inside = ~SPACE[data]
+def spans(
+    data: np.ndarray, borders: np.ndarray, apart: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are not ``apart``, cut at the borders."""
+    inside = ~apart[data]
     inner = borders[(borders > 0) & (borders < len(data))]
     before = np.zeros_like(inside)
     before[1:] = inside[:-1]
@@ -83,13 +87,16 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of each row; a null has none. ``lower`` folds ASCII capitals."""
+def words_of(texts: pa.Array, plain: bool = False) -> Words:
+    """Words of each row; a null has none.
+
+    ``plain`` folds ASCII capitals, and takes ASCII punctuation for space.
+    """
     data, borders = buffers(texts)
-    if lower:
+    if plain:
         capital = (data >= 65) & (data <= 90)
         data = data + (capital * np.uint8(32))
-    starts, ends = spans(data, borders)
+    starts, ends = spans(data, borders, APART if plain else SPACE)
     first = np.searchsorted(starts, borders)
     return Words(data, starts, ends, first, hashes(data, starts, ends))
 
