@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontaminate, line_templates, near_dedup, packing, quality_rules, substrings, token_store, warc
+from shelfscope.llm import (
+    decontaminate,
+    line_crf,
+    line_templates,
+    near_dedup,
+    packing,
+    quality_rules,
+    substrings,
+    token_store,
+    toxicity,
+    warc,
+)
 from shelfscope.llm.shared import new_folder
 
 
@@ -31,6 +42,12 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Chain of low quality, then toxicity, over all documents."""
+    labels = table(spark, folder, "labels").withColumn("junk", 1 - F.col("quality"))
+    return toxicity.classify(table(spark, folder, "documents"), labels, ["junk", "toxic"])
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in all documents."""
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -63,6 +80,12 @@ def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.drop_lines(table(spark, folder, "documents"))
 
 
+def op9_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents from their lines."""
+    docs = table(spark, folder, "documents")
+    return line_crf.score(docs, line_crf.train(docs, table(spark, folder, "labels")))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pack all documents into sequences of powers of two."""
     tokenizer = vocabulary("word_bpe_49k.json")
@@ -94,11 +117,13 @@ FROM p JOIN s USING (payload) JOIN (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
     "op6_warc": op6_warc,
     "op7_substrings": op7_substrings,
     "op8_line_templates": op8_line_templates,
+    "op9_line_crf": op9_line_crf,
     "op10_packing": op10_packing,
 }
 SQL = {"op6_warc": OP6_SQL}
