@@ -5,20 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfscope.llm import packing
+from shelfscope.llm import decontaminate, line_crf, line_templates, near_dedup, packing
 from shelfscope.llm.queries import table, vocabulary
 from shelfscope.llm.shared import kept
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose lines are good by the field learned from the labels."""
+    return line_crf.keep_good(docs, line_crf.train(docs, table(spark, folder, "labels")))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without lines that recur across documents, and with their new length."""
+    cleaned = line_templates.drop_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the least id of each class of near duplicates."""
+    copies = near_dedup.near_duplicates(docs).where("NOT is_first").select("doc_id")
+    return docs.join(copies.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaked = decontaminate.leaks(docs, table(spark, folder, "benchmark")).select("doc_id")
+    return docs.join(leaked.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Sequences of powers of two, one piece of a document each."""
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good),
+    ("line dedup", without_repeated_lines),
+    ("near dedup", one_of_each),
+    ("decontamination", without_leaks),
+    ("packing", packed),
+]
 
 #: SQL has no tokenizer; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

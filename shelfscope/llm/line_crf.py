@@ -233,3 +233,17 @@ def score(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(
+    docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, whose score is at least the threshold."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                good = model.score(chains(part.column(text_col))) >= threshold
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(choose, docs.schema) if model else docs

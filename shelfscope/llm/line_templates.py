@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfscope.llm.shared import chunks, kept, only
 from shelfscope.llm.words import M1, M3, hashes, mix, spans
@@ -172,7 +173,8 @@ def drop_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, text without the dropped lines, n_lines (with a token), n_dropped.
+    """The rows with their columns, the text without the dropped lines, and two columns more:
+    n_lines (those with a token) and n_dropped, which replace columns of these names.
 
     A line of fewer than ``least_tokens`` tokens, or whose template would keep less than the share
     ``constant`` of them, recurs only as it is (but for its fields with digits). A document in
@@ -181,8 +183,10 @@ def drop_lines(
     often it has it; rows with equal ids count as one document. Rows without id stay as they are,
     and count for none. A null text stays null.
     """
-    rows = only(docs, id=id_col, text=text_col)
-    found = templates(rows, leading, min_docs, least_tokens, constant)
+    others = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
+    rest = F.struct(F.lit(0).alias("_"), *[docs[c] for c in others])
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), rest.alias("rest"))
+    found = templates(rows.select("id", "text"), leading, min_docs, least_tokens, constant)
 
     def cut(batches):
         for part, lines in parts(batches, leading):
@@ -206,9 +210,16 @@ def drop_lines(
                 pieces = texts[row].split("\n")
                 texts[row] = "\n".join([p for p, k in zip(pieces, keep, strict=True) if k])
             yield pa.record_batch(
-                [part.column("id"), pa.array(texts, pa.string()), pa.array(n_lines), pa.array(n_dropped)],
-                ["doc_id", "text", "n_lines", "n_dropped"],
+                [
+                    *[part.column("id"), pa.array(texts, pa.string()), part.column("rest")],
+                    *[pa.array(n_lines), pa.array(n_dropped)],
+                ],
+                ["id", "text", "rest", "n_lines", "n_dropped"],
             )
 
-    joined = rows.join(found, "id", "left").select("id", "text", "forms")
-    return joined.mapInArrow(cut, "doc_id long, text string, n_lines long, n_dropped long")
+    counts = T.StructType().add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*rows.schema.fields, *counts.fields])
+    cleaned = rows.join(found, "id", "left").select("id", "text", "rest", "forms").mapInArrow(cut, schema)
+    own = {id_col: F.col("id"), text_col: F.col("text")}
+    columns = [own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns if c not in counts.names]
+    return cleaned.select(*columns, *counts.names)

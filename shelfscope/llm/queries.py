@@ -77,7 +77,8 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without lines whose template recurs across documents."""
-    return line_templates.drop_lines(table(spark, folder, "documents"))
+    cleaned = line_templates.drop_lines(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op9_line_crf(spark: SparkSession, folder: str) -> DataFrame:

@@ -116,14 +116,14 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     sizes[short] = 1
     first = np.concatenate([[0], np.cumsum(sizes)])
     out = np.zeros(first[-1], np.uint64)
-    at = np.repeat(words.first[:-1] - first[:-1], sizes) + np.arange(first[-1])
+    source = np.repeat(words.first[:-1] - first[:-1], sizes) + np.arange(first[-1])
     is_short = np.repeat(np.isin(np.arange(len(counts)), short), sizes)
-    out[~is_short] = whole[at[~is_short]]
+    out[~is_short] = whole[source[~is_short]]
     for row in short:
-        value = np.uint64(counts[row])
-        for w in h[words.first[row] : words.first[row + 1]]:
-            value = mix((value ^ w) * M3)
-        out[first[row]] = value
+        value = counts[row : row + 1].astype(np.uint64)
+        for at in range(words.first[row], words.first[row + 1]):
+            value = mix((value ^ h[at : at + 1]) * M3)
+        out[first[row]] = value[0]
     return out, first
 
 
