@@ -20,6 +20,7 @@ from shelfscope.llm import (
     warc,
 )
 from shelfscope.llm.shared import new_folder
+from shelfscope.llm.sql import SQL as SQL
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -94,27 +95,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-OP6_SQL = """
-WITH p AS (
-    SELECT page_id, coalesce(html, '') AS payload FROM pages
-), s AS (
-    SELECT payload, max(page_id) AS largest FROM p GROUP BY payload
-)
-SELECT p.page_id,
-       CAST(strlen(p.payload) AS BIGINT) AS payload_bytes,
-       b.digest AS payload_digest,
-       CASE WHEN p.page_id = s.largest THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN p.page_id <> s.largest THEN s.largest END AS refers_to
-FROM p JOIN s USING (payload) JOIN (
-    SELECT page_id, string_agg(
-        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-               CAST(('0b' || substr(bits, 5 * i + 1, 5)) AS INTEGER) + 1, 1), '' ORDER BY i) AS digest
-    FROM (SELECT page_id, CAST(unhex(sha1(payload)) AS BLOB)::BIT::VARCHAR AS bits FROM p),
-         range(32) r(i)
-    GROUP BY page_id
-) b USING (page_id)
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -127,4 +107,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_crf": op9_line_crf,
     "op10_packing": op10_packing,
 }
-SQL = {"op6_warc": OP6_SQL}
