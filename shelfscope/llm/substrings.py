@@ -83,7 +83,7 @@ def lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
 
 
 def repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of first copies that an earlier document has (id, and a list of place, source and
+    """Blocks that an earlier document has (id and key of the text, and a list of place, source and
     place there), and the table of all ids and keys."""
 
     def anchors(batches):
@@ -115,13 +115,15 @@ def repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
             hit = np.isin(anchor ^ mix(row.astype(np.uint64)), listed)
             hashes = lists(block[hit].view(np.int64), row[hit], part.num_rows)
             places = lists(at[hit].astype(np.int32), row[hit], part.num_rows)
-            yield pa.record_batch([part.column("id"), hashes, places], ["id", "hashes", "places"])
+            keys = pa.array(row_keys(words), pa.binary())
+            yield pa.record_batch([part.column("id"), keys, hashes, places], names)
 
-    schema = "id long, hashes array<long>, places array<int>"
+    names = ["id", "key", "hashes", "places"]
+    schema = "id long, key binary, hashes array<long>, places array<int>"
     held = kept(docs.join(wanted, "id").mapInArrow(candidates, schema), "blocks")
     pairs = F.arrays_zip("hashes", "places")
-    block = held.select("id", F.explode(pairs).alias("b")).select(
-        "id", F.col("b.hashes").alias("block"), F.col("b.places").alias("pos")
+    block = held.select("id", "key", F.explode(pairs).alias("b")).select(
+        "id", "key", F.col("b.hashes").alias("block"), F.col("b.places").alias("pos")
     )
     index = block.groupBy("block").agg(
         F.min(F.struct("id", "pos")).alias("source"), F.max("id").alias("last")
@@ -129,7 +131,7 @@ def repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     index = index.where("source.id < last").select("block", "source")
     found = block.join(kept(index, "index"), "block").where("source.id < id")
     hit = F.struct("pos", F.col("source.id").alias("source"), F.col("source.pos").alias("source_pos"))
-    return found.groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("hits")), marked
+    return found.groupBy("id", "key").agg(F.sort_array(F.collect_list(hit)).alias("hits")), marked
 
 
 def parse(pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray, window: int) -> list[tuple]:
@@ -163,23 +165,29 @@ def duplicate_spans(
     hits, marked = repeats(rows, window)
     first = marked.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     first = kept(first.where("first < last").select("key", "first"), "copies")
-    copies = marked.select("id", "key").join(first, "key").select("id", "first").where("first < id")
-    found = hits.select("id", "hits", F.lit(None).cast("long").alias("first")).unionByName(
-        copies.select("id", F.lit(None).cast(hits.schema["hits"].dataType).alias("hits"), "first")
+    copies = marked.select("id", "key").distinct().join(first, "key").where("first < id")
+    no_hits = F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")
+    found = hits.withColumn("first", F.lit(None).cast("long")).unionByName(
+        copies.select("id", "key", no_hits, "first")
     )
-    found = found.groupBy("id").agg(F.max("first").alias("first"), F.max("hits").alias("hits"))
+    # One entry, but for ids that several texts have.
+    found = found.groupBy("id", "key").agg(F.max("first").alias("first"), F.max("hits").alias("hits"))
+    found = found.groupBy("id").agg(F.collect_list(F.struct("key", "first", "hits")).alias("found"))
 
     def cut(batches):
         for part, words in batches_of(batches):
             out = []
-            hits, first = part.column("hits"), part.column("first").to_pylist()
-            for row, (n, text) in enumerate(zip(words.counts, part.column("text").to_pylist(), strict=True)):
+            texts, keys, known = part.column("text").to_pylist(), row_keys(words), part.column("found")
+            for row, (n, text) in enumerate(zip(words.counts, texts, strict=True)):
                 spans, keep = [], np.ones(n, bool)
-                if first[row] is not None:
-                    spans = [(0, int(n), first[row], 0)] if n >= window else []
-                elif hits[row].is_valid:
-                    hit = hits[row].values
-                    spans = parse(*[hit.field(k).to_numpy() for k in range(3)], window)
+                for entry in known[row].values if known[row].is_valid else ():
+                    if entry["key"].as_py() != keys[row]:
+                        continue
+                    if entry["first"].is_valid:
+                        spans = [(0, int(n), entry["first"].as_py(), 0)] if n >= window else []
+                    else:
+                        hit = entry["hits"].values
+                        spans = parse(*[hit.field(k).to_numpy() for k in range(3)], window)
                 for start, end, *_ in spans:
                     keep[start:end] = False
                 # Bytes split at the six ASCII spaces, which are those between words.
