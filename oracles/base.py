@@ -39,7 +39,7 @@ purchase AS (
     CAST((CASE WHEN (buyer * 31) % 10 < 3 THEN 0
       WHEN step < 8 OR l_discount = 0 THEN 0
       WHEN l_discount >= 0.09 THEN FLOOR((step * 100 + 99) * 4 / 5)
-      ELSE step * 100 + 99 END) / 100.0 AS DECIMAL(8,2)) AS price,
+      ELSE step * 100 + 99 END) / 100.0 AS DECIMAL(12,2)) AS price,
     CAST(l_linenumber % 2 + 1 AS INTEGER) AS device_id,
     l_tax = 0.05 AND l_discount = 0.05 AS twice
   FROM stepped),

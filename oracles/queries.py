@@ -38,15 +38,26 @@ def share(table: str, column: str, count: str, name: str, share_name: str) -> st
         WHERE {column} IS NOT NULL GROUP BY {column})"""
 
 
-def histogram(measure: str, low: float, high: float, bins: int, where: str = "TRUE") -> str:
-    width = (high - low) / bins
-    return f"""SELECT CAST(b AS INTEGER) AS bin, {float(low)}::DOUBLE + (b - 1) * {width}::DOUBLE AS bin_start,
-      {float(low)}::DOUBLE + b * {width}::DOUBLE AS bin_end, COUNT(v) AS row_ct
-    FROM range(1, {bins + 1}) r(b) LEFT JOIN (
-      SELECT {measure} AS v, LEAST(FLOOR({bins} * (CAST({measure} AS DOUBLE) - {low})
-        / ({high} - {low})) + 1, {bins}) AS place
-      FROM account_summary WHERE {where} AND {measure} BETWEEN {low} AND {high}) ON place = b
-    GROUP BY b"""
+def histogram(measure: str, bins: int, where: str = "TRUE", limits: tuple | None = None) -> str:
+    low, high = limits or ("MIN(v)", "MAX(v)")
+    source = "" if limits else " FROM kept"
+    return f"""SELECT * FROM (WITH kept AS (
+      SELECT CAST({measure} AS DOUBLE) AS v FROM account_summary
+      WHERE {where} AND {measure} IS NOT NULL
+    ), ends AS (
+      SELECT CAST({low} AS DOUBLE) AS l, CAST({high} AS DOUBLE) AS h{source}
+    ), placed AS (
+      SELECT v, CASE WHEN v < l THEN 0 WHEN v > h THEN {bins + 1} WHEN l = h THEN 1
+        ELSE LEAST(FLOOR({bins} * (v - l) / (h - l)) + 1, {bins}) END AS place
+      FROM kept, ends
+    )
+    SELECT CAST(b AS INTEGER) AS bin,
+      CASE WHEN b BETWEEN 1 AND {bins} THEN l + (b - 1) * ((h - l) / {bins}) WHEN b > {bins} THEN h END
+        AS bin_start,
+      CASE WHEN b BETWEEN 1 AND {bins} THEN l + b * ((h - l) / {bins}) WHEN b < 1 THEN l END AS bin_end,
+      COUNT(v) AS row_ct
+    FROM (SELECT b, l, h FROM range(0, {bins + 2}) r(b), ends) LEFT JOIN placed ON place = b
+    GROUP BY b, l, h)"""
 
 
 def describe(table: str, columns: list[str], where: str = "TRUE") -> str:
@@ -62,7 +73,9 @@ def describe(table: str, columns: list[str], where: str = "TRUE") -> str:
 
 
 SUMMARY_MEASURES = [
-    "total_revenue", "total_txn", "acct_tenure_days", "acct_tenure_months", "acct_tenure_years",
+    *[f"{column}_revenue" for column in CATEGORY_NAMES.values()],
+    "total_revenue", "total_txn", "avg_spend_amount",
+    "acct_tenure_days", "acct_tenure_months", "acct_tenure_years",
 ]
 WITHIN = "total_txn <= 120 AND total_revenue <= 900"
 
@@ -356,7 +369,9 @@ FACT_COLUMNS = [
     "account_create_dt", "payment_type",
 ]
 KINDS = {
-    "create_dt": "date", "price": "decimal(8,2)", "category_id": "int", "device_id": "int",
+    "create_dt": "date", "price": "decimal(12,2)", "category_id": "int", "device_id": "int",
+    "app_device_id": "int", "transaction_device_id": "int", "transaction_dt": "date",
+    "account_create_dt": "date",
 }
 
 
@@ -471,15 +486,22 @@ FACT_QUERIES = {
     "paid_share": share(
         "account_summary", "paid_acct_flag", "COUNT(DISTINCT acct_id)", "paid_acct_ct", "acct_share"
     ),
-    "spend_histogram": histogram("total_revenue", 0, 2000, 40),
-    "spend_histogram_buyers": histogram("total_revenue", 0, 900, 30, "total_revenue <> 0"),
-    "txn_histogram": histogram("total_txn", 0, 400, 40),
-    "txn_histogram_active": histogram("total_txn", 0, 120, 30, "total_txn <> 0"),
+    "spend_histogram": histogram("total_revenue", 40),
+    "spend_histogram_buyers": histogram("total_revenue", 40, "total_revenue <> 0"),
+    "spend_histogram_low": histogram("total_revenue", 40, "total_revenue <> 0", (0, 2000)),
+    "spend_histogram_within": histogram("total_revenue", 30, "total_revenue <> 0", (0, 900)),
+    "txn_histogram": histogram("total_txn", 40),
+    "txn_histogram_active": histogram("total_txn", 40, "total_txn <> 0"),
+    "txn_histogram_low": histogram("total_txn", 40, "total_txn <> 0", (0, 400)),
+    "txn_histogram_within": histogram("total_txn", 30, "total_txn <> 0", (0, 120)),
     "transaction_statistics": describe("txn_fact", ["price", "category_id"]),
     "account_statistics": describe("account_summary", SUMMARY_MEASURES),
     "final_statistics": describe(
-        "final", ["price", "acct_tenure_days", "transaction_without_acct", "free_transaction_flag",
-                  "paid_acct_flag"]
+        "final", ["price", "transaction_device_id", "category_id", "app_device_id",
+                  "paid_acct_flag", "transaction_year", "transaction_month",
+                  "transaction_weekday", "transaction_week", "acct_tenure_days",
+                  "acct_tenure_months", "acct_tenure_years", "transaction_without_acct",
+                  "free_transaction_flag"]
     ),
     "trimmed_summary": describe("account_summary", SUMMARY_MEASURES, WITHIN),
     "trimmed_summary_active": describe(
@@ -557,12 +579,15 @@ FACT_QUERIES = {
     ),
     "device_summary": amounts("transaction_device_name"),
     "apps_by_device": """SELECT app_device_name, COUNT(DISTINCT parent_app_content_id) AS app_ct,
-      COUNT(*) AS row_ct FROM app_df WHERE app_device_name IS NOT NULL GROUP BY ALL""",
+      COUNT(*) AS row_ct, CAST(COUNT(DISTINCT parent_app_content_id) AS DOUBLE)
+        / SUM(COUNT(DISTINCT parent_app_content_id)) OVER () AS app_share
+      FROM app_df WHERE app_device_name IS NOT NULL GROUP BY ALL""",
     "device_summary_both": BOTH,
-    "accounts_by_payment_and_paid": """SELECT payment_type, paid_acct_flag,
-      COUNT(DISTINCT acct_id) AS no_txn_acct_ct FROM account_summary
-      WHERE acct_id NOT IN (SELECT acct_id FROM outliers) AND payment_type IS NOT NULL
-      GROUP BY ALL""",
+    "accounts_by_payment_and_paid": """SELECT *, CAST(no_txn_acct_ct AS DOUBLE)
+        / SUM(no_txn_acct_ct) OVER (PARTITION BY payment_type) AS acct_share
+      FROM (SELECT payment_type, paid_acct_flag, COUNT(DISTINCT acct_id) AS no_txn_acct_ct
+      FROM account_summary WHERE acct_id NOT IN (SELECT acct_id FROM outliers) AND payment_type IS NOT NULL
+      GROUP BY ALL)""",
     "txn_by_payment": value_counts("payment_type"),
     "payment_summary": f"""SELECT payment_type, {PAYMENT_MEASURES} FROM account_summary
       WHERE payment_type IS NOT NULL GROUP BY ALL""",
@@ -638,6 +663,9 @@ FACT_QUERIES = {
     "null_report": roles_of(nulls)
     + " UNION ALL " + nulls("app_dimension", "app_df", APP_DF_COLUMNS)
     + " UNION ALL " + nulls("transaction_fact", "txn_fact", FACT_COLUMNS),
+    "column_report": roles_of(column_kinds)
+    + " UNION ALL " + column_kinds("app_dimension", "app_df", APP_DF_COLUMNS)
+    + " UNION ALL " + column_kinds("transaction_fact", "txn_fact", FACT_COLUMNS),
     "orphan_accounts": """SELECT acct_id, COUNT(*) AS row_ct FROM resolved r
       WHERE NOT EXISTS (SELECT 1 FROM account_role a WHERE a.acct_id = r.acct_id) GROUP BY ALL""",
     "resolution_report": """SELECT CASE WHEN content_id IS NOT NULL THEN 'content'
@@ -658,7 +686,6 @@ ROLE_QUERIES = {
         f"SELECT '{n}' AS table_name, * FROM ({duplicates(n + '_role', c)})"
         for n, c in ROLE_COLUMNS.items()
     ),
-    "column_report": roles_of(column_kinds),
     "ambiguous_app_names": """SELECT app_name, COUNT(DISTINCT content_id) AS app_ct FROM app_role
       GROUP BY app_name HAVING COUNT(DISTINCT content_id) > 1""",
     "transaction_period": """SELECT MIN(create_dt) AS period_start, MAX(create_dt) AS period_end,
@@ -674,6 +701,8 @@ ROLE_QUERIES = {
         cardinality("inapp", "type"), cardinality("category", "category_name"),
         cardinality("device", "device_name"),
     ]),
+    "device_names": "SELECT DISTINCT device_name FROM device_role",
+    "category_names": "SELECT DISTINCT category_name FROM category_role",
     "content_types": "SELECT DISTINCT type FROM inapp_role",
     "csv_input_round_trip": "SELECT * FROM transaction_role",
 }

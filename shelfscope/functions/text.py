@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,8 @@ def title_words(text: Column) -> Column:
 
 def clean_app_name(name: Column) -> Column:
     return title_words(strip_noise(name))
+
+
+def column_name(label: str) -> str:
+    """A label as the name of a column: lower case, with one underscore for all that is odd."""
+    return re.sub(r"[^a-z0-9]+", "_", label.lower()).strip("_")

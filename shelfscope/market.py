@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.plans import accounts, facts, leaders, pricing, subscriptions
+from shelfscope.functions.text import column_name
+from shelfscope.plans import accounts, facts, leaders, pricing, subscriptions, trends
 from shelfscope.rules import Rules
 from shelfscope.sources.files import Roles
 from shelfscope.sources.kept import KeptTables, clustered
@@ -28,7 +29,44 @@ class Market:
     ):
         self.roles = roles
         self.rules = rules or Rules()
+        self._spark = spark
         self._kept = KeptTables(spark, folder) if keep else None
+        self._categories: dict[str, str] | None = None
+        self._months: tuple[str, ...] | None = None
+
+    def close(self) -> None:
+        """Delete the kept tables and the files of round trips; the market is not used again."""
+        if self._kept:
+            self._kept.close()
+
+    @property
+    def folder(self) -> str:
+        """Where this market writes: ``close`` deletes it."""
+        return (self._kept or KeptTables(self._spark)).folder
+
+    @property
+    def categories(self) -> dict[str, str]:
+        """Names and columns of the categories: those of the rules, or all of the category table.
+
+        They become columns, so their number is that of a table's columns.
+        """
+        if self._categories is None:
+            names = self.rules.categories
+            if names is None:
+                found = self.roles.category.select("category_name").distinct().dropna()
+                names = sorted(row[0] for row in found.collect())
+            self._categories = {name: column_name(name) for name in names}
+        return self._categories
+
+    @property
+    def months(self) -> tuple[str, ...]:
+        """The rules' months, or all with an ordinary purchase (folders of the final fact)."""
+        if self._months is None:
+            months = self.rules.months
+            if months is None:
+                months = sorted(row[0] for row in self.final.select(MONTH).distinct().dropna().collect())
+            self._months = tuple(months)
+        return self._months
 
     def _get(self, name: str, build, **layout) -> DataFrame:
         return self._kept.get(name, build, **layout) if self._kept else build()
@@ -58,14 +96,16 @@ class Market:
 
     @property
     def activity(self) -> DataFrame:
-        return self._get("activity", lambda: accounts.account_activity(self.resolved))
+        return self._get(
+            "activity", lambda: accounts.account_activity(self.resolved, self.categories)
+        )
 
     @property
     def account_summary(self) -> DataFrame:
         return self._get(
             "account_summary",
             lambda: accounts.account_summary(
-                self.roles.account, self.activity, self.rules.low_limit
+                self.roles.account, self.activity, self.rules.low_limit, self.categories
             ),
         )
 
@@ -102,6 +142,26 @@ class Market:
 
         return self._get("final", build, partition_by=[MONTH])
 
+    @property
+    def daily(self) -> DataFrame:
+        """Measures by day: small, and the base of the weekday reports."""
+        return self._get("daily", lambda: trends.daily_counts(self.final))
+
+    @property
+    def weekly_category(self) -> DataFrame:
+        """Measures by week and category."""
+        return self._get(
+            "weekly_category", lambda: trends.performance_week_category(self.final)
+        )
+
+    @property
+    def content_repeats(self) -> DataFrame:
+        """Account-content pairs and repeats by content."""
+        pairs = subscriptions.purchase_months(
+            self.subscription, ["acct_id", "content_id"], self.months
+        )
+        return self._get("content_repeats", lambda: subscriptions.content_repeats(pairs))
+
     @property
     def app_week_counts(self) -> DataFrame:
         return self._get("app_week_counts", lambda: leaders.app_week_counts(self.final))
@@ -118,7 +178,7 @@ class Market:
     @property
     def purchase_matrix(self) -> DataFrame:
         return subscriptions.monthly_purchase_matrix(
-            self.subscription, self.app_dimension, self.rules.months
+            self.subscription, self.app_dimension, self.months
         )
 
     @property

@@ -42,7 +42,7 @@ def spread_sum(
 
 def drop_all_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows where at least one of the columns is not zero."""
-    return df.filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns]))
+    return df.filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns], F.lit(False)))
 
 
 def frequencies(df: DataFrame, *keys: str, name: str = "row_ct") -> DataFrame:

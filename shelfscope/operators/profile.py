@@ -6,36 +6,50 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfscope.functions.numbers import ratio, rows
 from shelfscope.operators.grouping import fill_bands
-from shelfscope.operators.ordering import magnitude
+from shelfscope.operators.ordering import value_edges, value_slice
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Slice of missing values, below every other.
-NO_SLICE = -1_000_000
+NO_SLICE = -1
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
 def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, ct): all columns below each other, equal values collapsed."""
     return (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
         .unpivot([], list(columns), "column_name", "value")
         .groupBy("column_name", "value")
         .agg(F.count("value").alias("ct"))
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, one row per column.
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles, one row per numeric column.
 
-    Quartiles interpolate linearly. ``df`` is read once: equal values collapse to a count, and
-    the distinct values are ordered within slices of their magnitude, so no task holds all of
-    them. The slices' totals, some hundred rows per column, tell how many values lie below.
+    Quartiles interpolate linearly; NaN counts as missing. ``df`` is read once: equal values
+    collapse to a count, and the distinct values are ordered within slices between their
+    quantiles, so no task holds all of them. The slices' totals, four thousand rows per column at
+    most, tell how many values lie below.
     """
-    counted = _counted(df, columns).withColumn(
-        "slice", F.coalesce(magnitude(F.col("value")), F.lit(NO_SLICE))
+    counted = _counted(df, columns or numeric_columns(df))
+    # A row for each column.
+    edges = counted.groupBy("column_name").agg(value_edges(F.col("value")).alias("edges"))
+    counted = counted.join(F.broadcast(edges), "column_name").select(
+        "column_name",
+        "value",
+        "ct",
+        F.when(F.col("value").isNull(), NO_SLICE)
+        .otherwise(value_slice(F.col("value"), F.col("edges")))
+        .alias("slice"),
     )
     whole = Window.partitionBy("column_name")
     below = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,18 +115,30 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """Row counts of equal-width bins over ``[low, high]``; empty bins show 0."""
-    value = F.col(column).cast("double")
-    edges = [F.lit(float(low)), F.lit(float(high)), F.lit(bins)]
-    number = F.least(F.width_bucket(value, *edges), F.lit(bins)).cast("int")
-    counted = (
-        df.filter(value.between(low, high)).groupBy(number.alias("bin")).agg(rows().alias("row_ct"))
-    )
-    width = (float(high) - float(low)) / bins
-    return fill_bands(counted, {"bin": list(range(1, bins + 1))}).select(
+def histogram(
+    df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None
+) -> DataFrame:
+    """Row counts of equal-width bins over ``[low, high]``; empty bins show 0.
+
+    A limit that is not given is the observed extreme. Bin 0 counts what lies below the lowest
+    limit and the one after the last what lies above the highest, so the counts add up to all
+    rows with a value.
+    """
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None))
+    seen = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    start = seen["low"] if low is None else F.lit(float(low))
+    end = seen["high"] if high is None else F.lit(float(high))
+    place = F.least(F.coalesce(F.width_bucket(value, start, end, F.lit(bins)), F.lit(1)), F.lit(bins))
+    number = F.when(value < start, 0).when(value > end, bins + 1).otherwise(place).cast("int")
+    counted = df.filter(value.isNotNull()).groupBy(number.alias("bin")).agg(rows().alias("row_ct"))
+    width, inside = (end - start) / bins, F.col("bin").between(1, bins)
+    return fill_bands(counted, {"bin": list(range(bins + 2))}).select(
         "bin",
-        (F.lit(float(low)) + (F.col("bin") - 1) * F.lit(width)).alias("bin_start"),
-        (F.lit(float(low)) + F.col("bin") * F.lit(width)).alias("bin_end"),
+        F.when(inside, start + (F.col("bin") - 1) * width)
+        .when(F.col("bin") > bins, end)
+        .alias("bin_start"),
+        F.when(inside, start + F.col("bin") * width)
+        .when(F.col("bin") < 1, start)
+        .alias("bin_end"),
         "row_ct",
     )

@@ -14,6 +14,7 @@ from shelfscope.operators.grouping import (
     fill_bands,
     frequencies,
     group_present,
+    share_of_group,
     share_of_total,
     spread_sum,
 )
@@ -31,15 +32,6 @@ from shelfscope.schemas import (
     TENURE_LABELS_RECUT,
 )
 
-SUMMARY_MEASURES = [
-    "total_revenue",
-    "total_txn",
-    "acct_tenure_days",
-    "acct_tenure_months",
-    "acct_tenure_years",
-]
-
-
 def _revenue_columns(categories: Mapping[str, str]) -> dict[str, str]:
     return {name: f"{column}_revenue" for name, column in categories.items()}
 
@@ -215,14 +207,14 @@ def paid_share(summary: DataFrame) -> DataFrame:
 def measure_histogram(
     summary: DataFrame,
     measure: str,
-    low: float,
-    high: float,
     bins: int,
     with_zero: bool = True,
+    low: float | None = None,
+    high: float | None = None,
 ) -> DataFrame:
     """Accounts by revenue or purchases, with or without those that have none."""
     kept = summary if with_zero else summary.filter(F.col(measure) != 0)
-    return histogram(kept, measure, low, high, bins)
+    return histogram(kept, measure, bins, low, high)
 
 
 def trimmed_summary(
@@ -230,7 +222,6 @@ def trimmed_summary(
     max_revenue: float = 10000,
     max_transactions: int = 1000,
     active_only: bool = False,
-    columns: Sequence[str] = SUMMARY_MEASURES,
 ) -> DataFrame:
     """Summary statistics of the accounts within both thresholds."""
     kept = summary.filter(
@@ -238,7 +229,7 @@ def trimmed_summary(
     )
     if active_only:
         kept = kept.filter(F.col("total_txn") != 0)
-    return describe(kept, columns)
+    return describe(kept)
 
 
 def tenure_counts(summary: DataFrame, by: str) -> DataFrame:
@@ -275,9 +266,10 @@ def payment_summary(summary: DataFrame, *keys: str) -> DataFrame:
 def accounts_by_payment_and_paid(summary: DataFrame, outliers: DataFrame) -> DataFrame:
     """Accounts per payment type and paid flag, outliers left out, with the share in the type."""
     kept = without_ids(summary, outliers, "acct_id")
-    return group_present(kept, "payment_type", "paid_acct_flag").agg(
+    counted = group_present(kept, "payment_type", "paid_acct_flag").agg(
         F.countDistinct("acct_id").alias("no_txn_acct_ct")
     )
+    return counted.withColumn("acct_share", share_of_group("no_txn_acct_ct", "payment_type"))
 
 
 def week_account_activity(final: DataFrame, account: DataFrame, week) -> DataFrame:

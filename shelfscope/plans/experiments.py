@@ -21,6 +21,10 @@ def content_test(contents: DataFrame, measure: str, z: float = 1.96) -> DataFram
     )
 
 
-def repeat_test(matrix: DataFrame, category: str, z: float = 1.96) -> DataFrame:
+def repeat_test(
+    repeats: DataFrame, app_dim: DataFrame, category: str, z: float = 1.96
+) -> DataFrame:
     """Returning accounts per content of one category, consumables against subscriptions."""
-    return content_test(repeat_by_content(matrix, category), "repeat_purchase_acct_ct", z)
+    return content_test(
+        repeat_by_content(repeats, app_dim, category), "repeat_purchase_acct_ct", z
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators import checks
 from shelfscope.operators.joins import row_counts
-from shelfscope.plans.facts import distinct_transactions, transaction_fact
+from shelfscope.plans.facts import distinct_transactions
 from shelfscope.sources.files import Roles
 
 
@@ -82,9 +82,21 @@ def resolution_report(resolved: DataFrame) -> DataFrame:
 def row_count_report(roles: Roles, resolved: DataFrame, summary: DataFrame) -> DataFrame:
     """Whether de-duplicated purchases and accounts keep their number through the joins."""
     transactions = distinct_transactions(roles.transaction)
+    # A left join adds rows only where its right key is not unique; those keys are few or none.
+    copies = roles.account.groupBy("acct_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    added = resolved.select("acct_id").join(copies, "acct_id")
+    enriched = resolved.agg(F.count(F.lit(1)).alias("rows_before")).select(
+        "rows_before",
+        (
+            F.col("rows_before")
+            + added.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()
+        ).alias("rows_after"),
+    )
     steps = {
         "resolve": row_counts(transactions, resolved),
-        "enrich": row_counts(resolved, transaction_fact(resolved, roles.account)),
+        "enrich": enriched.withColumn(
+            "same_count", F.col("rows_before") == F.col("rows_after")
+        ),
         "account": row_counts(roles.account, summary),
     }
     return checks.labelled(steps, "step")

@@ -64,9 +64,10 @@ def device_summary_both(final: DataFrame, both: str = BOTH_DEVICES) -> DataFrame
 
 
 def apps_by_device(app_dim: DataFrame) -> DataFrame:
-    return group_present(app_dim, "app_device_name").agg(
+    counted = group_present(app_dim, "app_device_name").agg(
         F.countDistinct("parent_app_content_id").alias("app_ct"), rows().alias("row_ct")
     )
+    return counted.withColumn("app_share", share_of_total("app_ct"))
 
 
 def txn_by_payment(final: DataFrame) -> DataFrame:

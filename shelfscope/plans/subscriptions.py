@@ -51,12 +51,18 @@ def period_share(activity: DataFrame) -> Column:
 def _by_type(
     subscription: DataFrame, keys: Sequence[str], share: Column, retention: float
 ) -> DataFrame:
-    counted = group_present(subscription, *keys).agg(
+    # Purchases collapse to contents first: several distinct counts multiply the rows they read.
+    contents = (
+        subscription.dropna(subset=list(keys))
+        .groupBy(*keys, "app_name", "parent_app_content_id", "content_id")
+        .agg(F.sum("price").alias("price"), rows().alias("n"))
+    )
+    counted = contents.groupBy(*keys).agg(
         F.countDistinct("app_name").alias("app_name_ct"),
         F.countDistinct("parent_app_content_id").alias("parent_app_content_ct"),
         F.countDistinct("content_id").alias("content_ct"),
         money_sum().alias("sales_amount"),
-        rows().alias("transaction_ct"),
+        F.sum("n").alias("transaction_ct"),
     )
     averaged = counted.withColumns(
         {
@@ -101,16 +107,14 @@ def purchase_months(
     Groups without revenue in any month are left out.
     """
     revenue = {month: f"revenue_{_suffix(month)}" for month in months}
-    spread = drop_all_zero(
-        spread_sum(purchases, keys, "transaction_year_month", revenue, "price", extra=extra),
-        list(revenue.values()),
-    )
+    spread = spread_sum(purchases, keys, "transaction_year_month", revenue, "price", extra=extra)
+    spread = drop_all_zero(spread, list(revenue.values()))
     flags = {f"purchase_{_suffix(m)}": flag(F.col(revenue[m]) > 0) for m in months}
     flagged = spread.withColumns(
         {c: F.col(c).cast("double") for c in revenue.values()}
     ).withColumns(flags)
     counted = flagged.withColumn(
-        "purchase_month_ct", reduce(lambda a, b: a + b, [F.col(f) for f in flags])
+        "purchase_month_ct", reduce(lambda a, b: a + b, [F.col(f) for f in flags], F.lit(0))
     )
     return counted.withColumn("repeat_purchase", flag(F.col("purchase_month_ct") > 1))
 
@@ -128,13 +132,28 @@ def monthly_purchase_matrix(
     return lookup(matrix, contents, "content_id")
 
 
-def repeat_purchase_by_type(matrix: DataFrame) -> DataFrame:
+def content_repeats(pairs: DataFrame) -> DataFrame:
+    """Account-content pairs and repeats by content, before any attribute is joined.
+
+    Pairs of a bestseller are added up before the shuffle, so none of its rows meet in a join.
+    """
+    return pairs.groupBy("content_id").agg(
+        rows().alias("acct_content_ct"), F.sum("repeat_purchase").alias("repeat_purchase_acct_ct")
+    )
+
+
+def _with_attributes(repeats: DataFrame, app_dim: DataFrame) -> DataFrame:
+    contents = app_dim.dropna(subset=["content_id"]).drop("content_id_modified")
+    return lookup(repeats, contents, "content_id")
+
+
+def repeat_purchase_by_type(repeats: DataFrame, app_dim: DataFrame) -> DataFrame:
     return (
-        group_present(matrix, "category_name", "inapp_content_type")
+        group_present(_with_attributes(repeats, app_dim), "category_name", "inapp_content_type")
         .agg(
-            F.count("acct_id").alias("acct_content_ct"),
+            F.sum("acct_content_ct").alias("acct_content_ct"),
             F.countDistinct("content_id").alias("content_ct"),
-            F.sum("repeat_purchase").alias("repeat_purchase_acct_ct"),
+            F.sum("repeat_purchase_acct_ct").alias("repeat_purchase_acct_ct"),
         )
         .withColumn("avg_purchase_acct_per_content", ratio("acct_content_ct", "content_ct"))
         .withColumn(
@@ -143,11 +162,12 @@ def repeat_purchase_by_type(matrix: DataFrame) -> DataFrame:
     )
 
 
-def repeat_by_content(matrix: DataFrame, category: str) -> DataFrame:
+def repeat_by_content(repeats: DataFrame, app_dim: DataFrame, category: str) -> DataFrame:
     """Accounts that came back per content of one category."""
-    return group_present(
-        matrix.filter(F.col("category_name") == category), "content_id", "inapp_content_type"
-    ).agg(F.sum("repeat_purchase").alias("repeat_purchase_acct_ct"))
+    of_category = _with_attributes(repeats, app_dim).filter(F.col("category_name") == category)
+    return group_present(of_category, "content_id", "inapp_content_type").agg(
+        F.sum("repeat_purchase_acct_ct").alias("repeat_purchase_acct_ct")
+    )
 
 
 def repeat_purchase_summary(final: DataFrame, months: Sequence[str]) -> DataFrame:

@@ -7,7 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.dates import days_seen_in_month, days_seen_in_week, year_month
+from shelfscope.functions.dates import (
+    days_seen_in_month,
+    days_seen_in_week,
+    week_start,
+    weekday_name,
+    weekday_number,
+    year_month,
+)
 from shelfscope.functions.numbers import money_sum, ratio, rows
 from shelfscope.operators.grouping import (
     fill_bands,
@@ -16,6 +23,7 @@ from shelfscope.operators.grouping import (
     spread_sum,
     value_counts,
 )
+from shelfscope.operators.joins import lookup
 from shelfscope.operators.ordering import top_rows, with_change, with_previous
 from shelfscope.schemas import CATEGORY_COLUMNS, TENURE_LABELS
 
@@ -85,32 +93,35 @@ def txn_group_summary(final: DataFrame) -> DataFrame:
     )
 
 
-def _daily(final: DataFrame, keys: Sequence[str], *extra) -> DataFrame:
-    counted = group_present(final, *keys).agg(
+def daily_counts(final: DataFrame, *keys: str) -> DataFrame:
+    """Measures by day (and more keys), with the exact total: what the daily reports derive from."""
+    return group_present(final, "transaction_dt", *keys).agg(
         F.countDistinct("acct_id").alias("active_acct_ct"),
-        *extra,
-        money_sum().alias("daily_sales"),
+        F.countDistinct("parent_app_content_id").alias("active_unique_app"),
+        F.sum("price").alias("sales"),
         F.sum("free_transaction_flag").alias("free_transaction_ct"),
         rows().alias("transaction_ct"),
     )
+
+
+def performance_daily(daily: DataFrame) -> DataFrame:
+    """Measures and means per account of each row of ``daily_counts``."""
     per_account = {
         "avg_free_transaction_ct_per_acct": "free_transaction_ct",
         "avg_paid_transaction_ct_per_acct": "paid_transaction_ct",
         "avg_transaction_ct_per_acct": "transaction_ct",
         "avg_sales_per_acct": "daily_sales",
     }
-    return counted.withColumn(
-        "paid_transaction_ct", F.col("transaction_ct") - F.col("free_transaction_ct")
-    ).withColumns({new: ratio(old, "active_acct_ct") for new, old in per_account.items()})
-
-
-def performance_daily(final: DataFrame) -> DataFrame:
-    apps = F.countDistinct("parent_app_content_id").alias("active_unique_app")
-    return _daily(final, ["transaction_dt"], apps)
+    return (
+        daily.withColumn("daily_sales", F.coalesce("sales", F.lit(0)).cast("double"))
+        .withColumn("paid_transaction_ct", F.col("transaction_ct") - F.col("free_transaction_ct"))
+        .withColumns({new: ratio(old, "active_acct_ct") for new, old in per_account.items()})
+        .drop("sales")
+    )
 
 
 def performance_daily_category(final: DataFrame) -> DataFrame:
-    return _daily(final, ["transaction_dt", "category_name"])
+    return performance_daily(daily_counts(final, "category_name")).drop("active_unique_app")
 
 
 def day_app_leaders(final: DataFrame, day, k: int | None = 5) -> DataFrame:
@@ -143,6 +154,10 @@ def daily_app_performance(final: DataFrame) -> DataFrame:
         "transaction_dt",
         {"txn_by_app": "yesterday_txn_by_app", "revenue_by_app": "yesterday_revenue_by_app"},
     )
+    return _app_changes(before)
+
+
+def _app_changes(before: DataFrame) -> DataFrame:
     changed = with_change(
         before, "txn_by_app", "yesterday_txn_by_app", "app_txn_change_rate", "app_txn_change"
     )
@@ -156,28 +171,64 @@ def daily_app_performance(final: DataFrame) -> DataFrame:
 
 
 def day_movers(final: DataFrame, day, by: str, k: int = 10) -> DataFrame:
-    """Apps that gained most on one day; ``by`` is ``txn`` or ``revenue``."""
+    """Apps that gained most on one day; ``by`` is ``txn`` or ``revenue``.
+
+    Accounts are told apart on that day alone; of earlier days, plain totals are enough.
+    """
+    app = ["parent_app_content_id", "app_name"]
     order = [
         F.desc_nulls_last(f"app_{by}_change"),
         F.desc_nulls_last(f"app_{by}_change_rate"),
         F.asc("parent_app_content_id"),
         F.asc("app_name"),
     ]
-    daily_apps = daily_app_performance(up_to(final, day))
-    return top_rows(daily_apps.filter(F.col("transaction_dt") == _day(day)), k, order)
+    today = day_app_leaders(final, day, k=None).withColumn("transaction_dt", _day(day))
+    earlier = (
+        group_present(up_to(final, day), *app, "transaction_dt")
+        .agg(money_sum().alias("revenue"), rows().alias("txn"))
+        .filter(F.col("transaction_dt") < _day(day))
+        .groupBy(*app)
+        .agg(F.max(F.struct("transaction_dt", "txn", "revenue")).alias("before"))
+    )
+    joined = lookup(today, earlier, app).select(
+        *app,
+        "transaction_dt",
+        "active_acct",
+        "revenue_by_app",
+        "txn_by_app",
+        F.col("before.txn").alias("yesterday_txn_by_app"),
+        F.col("before.revenue").alias("yesterday_revenue_by_app"),
+    )
+    return top_rows(_app_changes(joined), k, order)
 
 
-def performance_weekday_overall(final: DataFrame) -> DataFrame:
-    return (
-        group_present(final, "transaction_weekday", "transaction_weekday_nm")
+def performance_weekday_overall(final: DataFrame, daily: DataFrame) -> DataFrame:
+    """Weekdays over the whole period.
+
+    Sums and days come from ``daily_counts``. The two distinct counts go through the purchases
+    one by one, as together they would multiply the rows.
+    """
+    weekday = ["transaction_weekday", "transaction_weekday_nm"]
+    day = F.col("transaction_dt")
+    totals = (
+        daily.groupBy(weekday_number(day).alias(weekday[0]), weekday_name(day).alias(weekday[1]))
         .agg(
-            money_sum().alias("total_sales"),
-            F.countDistinct("acct_id").alias("purchased_acct_ct"),
-            F.countDistinct("parent_app_content_id").alias("purchased_unique_app"),
-            F.countDistinct("transaction_dt").alias("active_days"),
-            rows().alias("total_transaction_ct"),
+            F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("total_sales"),
+            rows().alias("active_days"),
+            F.sum("transaction_ct").alias("total_transaction_ct"),
+        )
+    )
+
+    def distinct(column: str, name: str) -> DataFrame:
+        return group_present(final, *weekday).agg(F.countDistinct(column).alias(name))
+
+    joined = totals.join(distinct("acct_id", "purchased_acct_ct"), weekday).join(
+        distinct("parent_app_content_id", "purchased_unique_app"), weekday
+    )
+    return (
+        joined.withColumn(
+            "avg_daily_transaction_ct", ratio("total_transaction_ct", "active_days")
         )
-        .withColumn("avg_daily_transaction_ct", ratio("total_transaction_ct", "active_days"))
         .withColumn("avg_daily_sales", ratio("total_sales", "active_days"))
         .orderBy("transaction_weekday")
     )
@@ -223,30 +274,36 @@ def performance_week_category(final: DataFrame) -> DataFrame:
 
 
 def week_category_pivot(
-    final: DataFrame,
+    weekly_category: DataFrame,
     skip_weeks: Sequence = (),
     categories: Mapping[str, str] = CATEGORY_COLUMNS,
 ) -> DataFrame:
     """Purchases per week, one column per category; categories without any stay missing."""
-    kept = final
+    kept = weekly_category
     for week in skip_weeks:
         kept = kept.filter(~F.col("first_day_of_the_week").eqNullSafe(_day(week)))
     return spread_sum(
-        kept.select("first_day_of_the_week", "category_name", F.lit(1).alias("one")),
+        kept,
         ["first_day_of_the_week"],
         "category_name",
         categories,
-        "one",
+        "weekly_transaction_ct",
         fill=None,
     )
 
 
-def performance_weekday(final: DataFrame) -> DataFrame:
-    """Weekdays by week with the change against the same weekday of the previous week."""
-    counted = group_present(final, "first_day_of_the_week", "transaction_weekday_nm").agg(
-        money_sum().alias("daily_sales"),
-        F.countDistinct("acct_id").alias("active_acct_ct"),
-        rows().alias("daily_transaction_ct"),
+def performance_weekday(daily: DataFrame) -> DataFrame:
+    """Weekdays by week with the change against the same weekday of the previous week.
+
+    A weekday of a week is one day, so ``daily_counts`` has all measures.
+    """
+    day = F.col("transaction_dt")
+    counted = daily.select(
+        week_start(day).alias("first_day_of_the_week"),
+        weekday_name(day).alias("transaction_weekday_nm"),
+        F.coalesce("sales", F.lit(0)).cast("double").alias("daily_sales"),
+        "active_acct_ct",
+        F.col("transaction_ct").alias("daily_transaction_ct"),
     )
     before = with_previous(
         counted,

@@ -24,7 +24,6 @@ from shelfscope.plans import (
 )
 from shelfscope.schemas import TRANSACTION
 from shelfscope.sources.files import read_table, write_table
-from shelfscope.sources.kept import CHECKPOINT_DIR, shared_folder
 
 Report = Callable[[Market], DataFrame]
 
@@ -54,15 +53,14 @@ OUTPUTS = {
 }
 
 
-def round_trip(df: DataFrame, fmt: str) -> DataFrame:
-    """Write a table below the shared folder and scan it again with its schema."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    path = f"{folder}/round-trip-{uuid.uuid4().hex}"
-    write_table(df, path, fmt)
-    return read_table(spark, path, df.schema, fmt)
+def round_trip(market: Market, df: DataFrame, fmt: str) -> DataFrame:
+    """Write a table into the market's folder, at once, and scan it again with its schema.
+
+    CSV columns are written in reverse order, as files name their columns in any.
+    """
+    path = f"{market.folder}/round-trip-{uuid.uuid4().hex}"
+    write_table(df.select(*reversed(df.columns)) if fmt == "csv" else df, path, fmt)
+    return read_table(df.sparkSession, path, df.schema, fmt)
 
 
 def _fact_reports() -> dict[str, Report]:
@@ -76,10 +74,12 @@ def _fact_reports() -> dict[str, Report]:
 
 
 def _account_reports() -> dict[str, Report]:
-    def bars(measure: str, high: float, bins: int, with_zero: bool) -> Report:
-        return lambda m: accounts.measure_histogram(
-            m.account_summary, measure, 0, high, bins, with_zero
-        )
+    def bars(measure: str, bins: int, with_zero: bool, limit: str | None = None) -> Report:
+        def drawn(m: Market) -> DataFrame:
+            ends = (0, getattr(m.rules, limit)) if limit else (None, None)
+            return accounts.measure_histogram(m.account_summary, measure, bins, with_zero, *ends)
+
+        return drawn
 
     def trimmed(active_only: bool) -> Report:
         return lambda m: accounts.trimmed_summary(
@@ -87,7 +87,9 @@ def _account_reports() -> dict[str, Report]:
         )
 
     return {
-        "revenue_by_account_category": lambda m: accounts.revenue_by_account_category(m.resolved),
+        "revenue_by_account_category": lambda m: accounts.revenue_by_account_category(
+            m.resolved, m.categories
+        ),
         "account_summary": lambda m: m.account_summary,
         "account_summary_recut": lambda m: accounts.recut_account_tenure(
             m.account_summary, m.final
@@ -96,22 +98,17 @@ def _account_reports() -> dict[str, Report]:
         "extreme_accounts": lambda m: accounts.extreme_accounts(m.account_summary),
         "active_share": lambda m: accounts.active_share(m.account_summary),
         "paid_share": lambda m: accounts.paid_share(m.account_summary),
-        "spend_histogram": bars("total_revenue", 2000, 40, True),
-        "spend_histogram_buyers": bars("total_revenue", 900, 30, False),
-        "txn_histogram": bars("total_txn", 400, 40, True),
-        "txn_histogram_active": bars("total_txn", 120, 30, False),
+        "spend_histogram": bars("total_revenue", 40, True),
+        "spend_histogram_buyers": bars("total_revenue", 40, False),
+        "spend_histogram_low": bars("total_revenue", 40, False, "zoom_revenue"),
+        "spend_histogram_within": bars("total_revenue", 30, False, "max_revenue"),
+        "txn_histogram": bars("total_txn", 40, True),
+        "txn_histogram_active": bars("total_txn", 40, False),
+        "txn_histogram_low": bars("total_txn", 40, False, "zoom_transactions"),
+        "txn_histogram_within": bars("total_txn", 30, False, "max_transactions"),
         "transaction_statistics": lambda m: describe(m.resolved, ["price", "category_id"]),
-        "account_statistics": lambda m: describe(m.account_summary, accounts.SUMMARY_MEASURES),
-        "final_statistics": lambda m: describe(
-            m.final,
-            [
-                "price",
-                "acct_tenure_days",
-                "transaction_without_acct",
-                "free_transaction_flag",
-                "paid_acct_flag",
-            ],
-        ),
+        "account_statistics": lambda m: describe(m.account_summary),
+        "final_statistics": lambda m: describe(m.final),
         "trimmed_summary": trimmed(False),
         "trimmed_summary_active": trimmed(True),
         "tenure_by_payment": lambda m: accounts.tenure_counts(m.account_summary, "payment_type"),
@@ -142,8 +139,7 @@ def _account_reports() -> dict[str, Report]:
 def _trend_reports() -> dict[str, Report]:
     def latest(m: Market) -> DataFrame:
         keys = ["first_day_of_the_week", "category_name"]
-        weeks = trends.performance_week_category(m.final)
-        return last_rows(weeks, 15, [F.asc(k) for k in keys], [F.desc(k) for k in keys])
+        return last_rows(m.weekly_category, 15, [F.asc(k) for k in keys], [F.desc(k) for k in keys])
 
     return {
         "latest_category_weeks": latest,
@@ -153,27 +149,27 @@ def _trend_reports() -> dict[str, Report]:
         "paid_txn_by_tenure": lambda m: trends.txn_by_tenure(m.final, paid_only=True),
         "tenure_activity": lambda m: trends.tenure_activity(m.final),
         "txn_group_summary": lambda m: trends.txn_group_summary(m.final),
-        "performance_daily": lambda m: trends.performance_daily(m.final),
+        "performance_daily": lambda m: trends.performance_daily(m.daily),
         "performance_daily_category": lambda m: trends.performance_daily_category(m.final),
         "day_app_leaders": lambda m: trends.day_app_leaders(m.final, m.rules.spike_day),
         "daily_app_performance": lambda m: trends.daily_app_performance(m.final),
         "day_movers_txn": lambda m: trends.day_movers(m.final, m.rules.spike_day, "txn"),
         "day_movers_revenue": lambda m: trends.day_movers(m.final, m.rules.spike_day, "revenue"),
-        "performance_weekday_overall": lambda m: trends.performance_weekday_overall(m.final),
+        "performance_weekday_overall": lambda m: trends.performance_weekday_overall(m.final, m.daily),
         "performance_week": lambda m: trends.performance_week(m.final),
-        "performance_week_category": lambda m: trends.performance_week_category(m.final),
+        "performance_week_category": lambda m: m.weekly_category,
         "week_category_pivot": lambda m: trends.week_category_pivot(
-            m.final, [m.rules.short_week]
+            m.weekly_category, [m.rules.short_week], m.categories
         ),
-        "performance_weekday": lambda m: trends.performance_weekday(m.final),
+        "performance_weekday": lambda m: trends.performance_weekday(m.daily),
         "week_snapshot_category": lambda m: trends.week_snapshot(
-            trends.performance_week_category(m.final),
+            m.weekly_category,
             m.rules.last_week,
             "category_name",
             ["weekly_sales_increase_rate", "weekly_transaction_ct_increase_rate"],
         ),
         "week_snapshot_weekday": lambda m: trends.week_snapshot(
-            trends.performance_weekday(m.final),
+            trends.performance_weekday(m.daily),
             m.rules.last_week,
             "transaction_weekday_nm",
             ["wow_sales_increase_rate", "wow_transaction_ct_increase_rate", "wow_active_acct_ct"],
@@ -218,7 +214,9 @@ def _segment_reports() -> dict[str, Report]:
 
 def _subscription_reports() -> dict[str, Report]:
     def test(category: str) -> Report:
-        return lambda m: experiments.repeat_test(m.purchase_matrix, category, m.rules.z)
+        return lambda m: experiments.repeat_test(
+            m.content_repeats, m.app_dimension, category, m.rules.z
+        )
 
     def least_bought(m: Market) -> DataFrame:
         order = [F.asc("transaction_ct"), F.asc("content_id"), F.asc("inapp_content_type")]
@@ -236,13 +234,13 @@ def _subscription_reports() -> dict[str, Report]:
         "least_bought_contents": least_bought,
         "monthly_purchase_matrix": lambda m: m.purchase_matrix,
         "repeat_purchase_by_type": lambda m: subscriptions.repeat_purchase_by_type(
-            m.purchase_matrix
+            m.content_repeats, m.app_dimension
         ),
         "repeat_by_content_utilities": lambda m: subscriptions.repeat_by_content(
-            m.purchase_matrix, "Utilities"
+            m.content_repeats, m.app_dimension, "Utilities"
         ),
         "repeat_purchase_summary": lambda m: subscriptions.repeat_purchase_summary(
-            m.final, m.rules.months
+            m.final, m.months
         ),
         "payment_test": lambda m: experiments.payment_test(m.account_summary, m.rules.z),
         "content_test_txn": lambda m: experiments.content_test(
@@ -263,21 +261,25 @@ def _quality_reports() -> dict[str, Report]:
         "null_report": lambda m: quality.null_report(
             m.roles, app_dimension=m.app_dimension, transaction_fact=m.transaction_fact
         ),
-        "column_report": lambda m: quality.column_report(m.roles),
+        "column_report": lambda m: quality.column_report(
+            m.roles, app_dimension=m.app_dimension, transaction_fact=m.transaction_fact
+        ),
         "ambiguous_app_names": lambda m: quality.ambiguous_app_names(m.roles),
         "transaction_period": lambda m: quality.transaction_period(m.roles),
+        "device_names": lambda m: distinct_values(m.roles.device, "device_name"),
+        "category_names": lambda m: distinct_values(m.roles.category, "category_name"),
         "content_types": lambda m: distinct_values(m.roles.inapp, "type"),
         "input_cardinalities": lambda m: quality.input_cardinalities(m.roles),
         "orphan_accounts": lambda m: quality.orphan_accounts(m.resolved, m.roles),
         "row_count_report": lambda m: quality.row_count_report(
             m.roles, m.resolved, m.account_summary
         ),
-        "csv_round_trip": lambda m: round_trip(trends.performance_daily(m.final), "csv"),
-        "parquet_round_trip": lambda m: round_trip(
-            trends.performance_week_category(m.final), "parquet"
+        "csv_round_trip": lambda m: round_trip(
+            m, trends.performance_daily(m.daily), "csv"
         ),
+        "parquet_round_trip": lambda m: round_trip(m, m.weekly_category, "parquet"),
         "csv_input_round_trip": lambda m: round_trip(
-            m.roles.transaction.select(*TRANSACTION.names), "csv"
+            m, m.roles.transaction.select(*TRANSACTION.names), "csv"
         ),
     }
 

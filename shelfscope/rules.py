@@ -11,7 +11,9 @@ class Rules:
     """What a run of the market tables may vary.
 
     An account above ``max_revenue`` or ``max_transactions`` is an outlier; one with at most
-    ``low_limit`` transactions is a low user.
+    ``low_limit`` transactions is a low user. ``months`` and ``categories`` get a column each in the
+    spread tables; None takes all that the data has, a given list leaves the others out. The
+    zoom limits only place the bins of the closer histograms.
     """
 
     max_revenue: float = 10000
@@ -22,5 +24,8 @@ class Rules:
     spike_day: dt.date = dt.date(2016, 7, 4)
     last_week: dt.date = dt.date(2016, 9, 12)
     short_week: dt.date = dt.date(2016, 8, 22)
-    months: tuple[str, ...] = ("2016-06", "2016-07", "2016-08", "2016-09")
+    months: tuple[str, ...] | None = None
+    categories: tuple[str, ...] | None = None
+    zoom_revenue: float = 2000
+    zoom_transactions: int = 400
     not_subscription: tuple[str, ...] = ("Games", "Social Networking")

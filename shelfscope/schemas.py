@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Store prices stay far below 1,000,000; eight digits let Spark add them as longs.
-MONEY = T.DecimalType(8, 2)
+MONEY = T.DecimalType(12, 2)
 
 
 def _table(*columns: tuple[str, T.DataType]) -> T.StructType:

@@ -1,13 +1,12 @@
 """Derived tables that many queries share, written once per application.
 
-They go below the shared folder the session names in ``spark.checkpoint.dir``. Readers then
-start from files: a lost executor costs a re-read, not the chain of joins behind the table,
-and pruning and pushdown apply to it like to any input.
+They go below the folder the session names in ``spark.checkpoint.dir``, or below its warehouse.
+Readers then start from files: a lost executor costs a re-read, not the chain of joins behind the
+table, and pruning and pushdown apply to it like to any input.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -15,17 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The session's checkpoint folder; a temporary one only on a local master."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return tempfile.mkdtemp(prefix="shelfscope-")
-    return None
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, or else the warehouse; an error if other machines cannot see it."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)
+    _, files = _file_system(spark, folder)
+    if files.getUri().getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(
+            f"{folder} is local to each machine; set {CHECKPOINT_DIR} to a shared folder, "
+            "or name a folder that all machines mount"
+        )
+    return folder.rstrip("/")
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _file_system(spark, folder)
+    files.delete(path, True)
 
 
 def clustered(df: DataFrame, *by: str, within: Sequence[str] = ()) -> DataFrame:
@@ -38,24 +49,27 @@ def clustered(df: DataFrame, *by: str, within: Sequence[str] = ()) -> DataFrame:
 
 
 class KeptTables:
-    """Names to tables. Without a shared folder tables stay lazy, which is slower but right."""
+    """Names to tables, in a folder of this object's own. A given ``folder`` is taken as shared."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        base = folder or shared_folder(spark)
+        base = (folder or shared_folder(spark)).rstrip("/")
         self._spark = spark
-        self._folder = f"{base}/shelfscope-{uuid.uuid4().hex}" if base else None
+        self.folder = f"{base}/shelfscope-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
 
     def get(
         self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
     ) -> DataFrame:
-        """The table, built and written at the first call."""
+        """The table, built and written at the first call that succeeds."""
         if name not in self._tables:
             table = build()
-            if self._folder:
-                path = f"{self._folder}/{name}"
-                table.write.partitionBy(*partition_by).parquet(path)
-                read = self._spark.read.schema(table.schema).parquet(path)
-                table = read.select(*table.columns)
-            self._tables[name] = table
+            path = f"{self.folder}/{name}"
+            table.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            read = self._spark.read.schema(table.schema).parquet(path)
+            self._tables[name] = read.select(*table.columns)
         return self._tables[name]
+
+    def close(self) -> None:
+        """Delete what was written here; tables that were read from it fail from then on."""
+        self._tables = {}
+        delete_folder(self._spark, self.folder)

@@ -23,6 +23,7 @@ from shelfscope.operators.ordering import (
     with_min_ranks,
     with_previous,
 )
+from shelfscope.operators.ordering import value_edges, value_slice
 from shelfscope.operators.profile import describe, histogram
 
 
@@ -189,8 +190,40 @@ def test_histogram_equals_numpy(spark):
     draw = random.Random(3)
     values = [draw.uniform(-1, 12) for _ in range(500)] + [0.0, 10.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r.row_ct for r in histogram(df, "v", 0, 10, 8).orderBy("bin").collect()]
-    assert got == np.histogram(values, bins=8, range=(0, 10))[0].tolist()
+    got = histogram(df, "v", 8, 0, 10).orderBy("bin").collect()
+    inside = np.histogram(values, bins=8, range=(0, 10))[0].tolist()
+    below, above = sum(v < 0 for v in values), sum(v > 10 for v in values)
+    assert [r.row_ct for r in got] == [below, *inside, above]
+    assert (got[0].bin_start, got[0].bin_end, got[-1].bin_start, got[-1].bin_end) == (None, 0, 10, None)
+    free = histogram(df, "v", 8).orderBy("bin").collect()
+    counts, edges = np.histogram(values, bins=8)
+    assert [r.row_ct for r in free] == [0, *counts.tolist(), 0]
+    assert [r.bin_start for r in free[1:-1]] == pytest.approx(edges[:-1].tolist())
+
+
+def test_histogram_of_one_value_and_of_none(spark):
+    df = spark.createDataFrame([(4.0,), (4.0,), (float("nan"),), (None,)], "v double")
+    assert [r.row_ct for r in histogram(df, "v", 2).orderBy("bin").collect()] == [0, 2, 0, 0]
+    assert sum(r.row_ct for r in histogram(df.where("v < 0"), "v", 2).collect()) == 0
+
+
+def test_describe_takes_numeric_columns_and_leaves_nan_out(spark):
+    df = spark.createDataFrame([(1.0, 1, "a"), (float("nan"), 2, "b")], "v double, w int, s string")
+    got = {r.column_name: r for r in describe(df).collect()}
+    assert set(got) == {"v", "w"}
+    assert (got["v"].value_ct, got["v"]["mean"], got["w"].q50) == (1, 1.0, 1.5)
+
+
+def test_values_close_together_are_spread_over_slices(spark):
+    """200,000 ids within one doubling."""
+    df = spark.range(1_000_000, 1_200_000).withColumn("v", F.col("id").cast("double"))
+    edges = df.agg(value_edges(F.col("v")).alias("edges"))
+    sliced = df.crossJoin(edges).groupBy(value_slice(F.col("v"), F.col("edges")).alias("s"))
+    sizes = sliced.agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    got = sizes.orderBy("s").collect()
+    assert max(r.n for r in got) < 400
+    assert all(x.b < y.a for x, y in zip(got, got[1:]))
+    assert describe(df.select("v")).first().q25 == 1_049_999.75
 
 
 def test_null_and_column_profile(spark):

@@ -172,7 +172,7 @@ def test_monthly_purchase_matrix(spark):
         ("u", "c1", 2.0, 3.0, 2, 1, day("2016-06-10"), "Appa"),
         ("v", "c2", 0.0, 0.0, 1, 0, day("2016-07-11"), "Appa"),
     ]
-    by_type = subscriptions.repeat_purchase_by_type(m.purchase_matrix)
+    by_type = subscriptions.repeat_purchase_by_type(m.content_repeats, m.app_dimension)
     assert rows(by_type, "inapp_content_type", "acct_content_ct", "repeat_purchase_acct_ct") == [
         ("consumable", 1, 1), ("subscription", 1, 0)
     ]
@@ -214,7 +214,9 @@ def test_week_account_activity_lists_every_account(spark):
 
 def test_pivot_skips_a_week_and_keeps_missing(spark):
     sold = [("2016-08-22", "c1", "u", 3, 1), ("2016-07-04", "B", "u", 3, 1)]
-    pivot = trends.week_category_pivot(market(spark, sold, ACCOUNTS).final, [day("2016-08-22")])
+    pivot = trends.week_category_pivot(
+        market(spark, sold, ACCOUNTS).weekly_category, [day("2016-08-22")]
+    )
     assert rows(pivot, "first_day_of_the_week", "games", "entertainment") == [
         (day("2016-07-04"), 1, None)
     ]
@@ -236,7 +238,7 @@ def test_totals_agree_across_day_week_and_month(spark, small):
     final = registered.market(spark, small).final
     total = one(final.agg(F.sum("price")))[0]
     for table, column in (
-        (trends.performance_daily(final), "daily_sales"),
+        (trends.performance_daily(trends.daily_counts(final)), "daily_sales"),
         (trends.performance_week(final), "weekly_sales"),
         (trends.performance_month(final), "monthly_sales"),
     ):
@@ -264,3 +266,55 @@ def test_lazy_tables_give_the_same_reports(spark, small):
     lazy = Market(spark, roles_from_star(spark, small), registered.RULES, keep=False)
     assert rows(trends.performance_week(lazy.final)) == rows(trends.performance_week(kept.final))
     assert rows(lazy.outliers) == rows(kept.outliers)
+
+
+def test_a_fifth_month_and_a_sixth_category_are_not_lost(spark):
+    from shelfscope.sources.files import Roles
+
+    sold = [(f"2016-{n:02}-10", "c1", "u", 2, 1) for n in (6, 7, 8, 9, 10)]
+    sold += [("2016-10-11", "X", "u", 7, 1)]
+    base = market(spark, sold, ACCOUNTS).roles
+    tables = base.tables()
+    more = spark.createDataFrame([(9, "Health & Fitness")], base.category.schema)
+    app = spark.createDataFrame([("X", "exercise", 9, 1)], base.app.schema)
+    tables |= {"category": base.category.union(more), "app": base.app.union(app)}
+    m = Market(spark, Roles(**tables))
+    (pair,) = rows(m.purchase_matrix.where("content_id = 'c1'"), "purchase_month_ct", "revenue_2016_10")
+    assert pair == (5, 2.0)
+    summary = m.account_summary.where("acct_id = 'u'")
+    assert one(summary, "health_fitness_revenue", "total_revenue") == (7.0, 17.0)
+    pivot = trends.week_category_pivot(m.weekly_category, categories=m.categories)
+    assert one(pivot.agg(F.sum("health_fitness"))) == (1,)
+    m.close()
+
+
+def test_histograms_count_every_account(spark, small):
+    import __spark_entry__ as registered
+    from shelfscope.reports import reports
+
+    m, known = registered.market(spark, small), reports()
+    everyone = m.account_summary.count()
+    buyers = {k: m.account_summary.where(f"{k} <> 0").count() for k in ("total_revenue", "total_txn")}
+    for name, column in (("spend", "total_revenue"), ("txn", "total_txn")):
+        assert one(known[f"{name}_histogram"](m).agg(F.sum("row_ct"))) == (everyone,)
+        kinds = ("low", "within", "buyers" if name == "spend" else "active")
+        for kind in kinds:
+            got = known[f"{name}_histogram_{kind}"](m).agg(F.sum("row_ct"))
+            assert one(got) == (buyers[column],), kind
+
+
+def test_reports_from_rollups_do_not_scan_the_fact(spark, small):
+    import __spark_entry__ as registered
+    from shelfscope.reports import reports
+
+    m, known = registered.market(spark, small), reports()
+    for name in (
+        "performance_daily", "performance_weekday", "performance_week_category", "latest_category_weeks",
+        "week_snapshot_category", "week_snapshot_weekday", "week_category_pivot",
+    ):
+        plan = known[name](m)._jdf.queryExecution().executedPlan().toString()
+        assert "acct_id" not in plan, name
+    for name in ("performance_weekday_overall", "day_movers_txn"):
+        assert "Expand" not in known[name](m)._jdf.queryExecution().executedPlan().toString()
+    plan = known["subscription_summary"](m)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Expand") :]

@@ -5,7 +5,7 @@ import pytest
 from oracle_check import connect, differences
 from pyspark.sql import functions as F
 from shelfscope import Market, roles_from_star
-from shelfscope.plans import facts, pricing
+from shelfscope.plans import facts, pricing, subscriptions
 
 # Queries whose joins, groups or ranks meet the hot keys.
 NAMES = [
@@ -20,6 +20,11 @@ NAMES = [
     "category_leaders",
     "monthly_purchase_matrix",
     "repeat_purchase_summary",
+    "repeat_purchase_by_type",
+    "repeat_by_content_utilities",
+    "repeat_test_entertainment",
+    "repeat_test_utilities",
+    "repeat_test_photos_videos",
     "priced_transactions",
     "tenure_price_performance",
     "orphan_accounts",
@@ -96,3 +101,15 @@ def test_hot_partitions_are_split(spark, hot, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_repeats_are_added_up_before_any_join(spark, hot, tmp_path):
+    """No join carries account-content pairs: the contents' table is read, not the purchases."""
+    market = Market(spark, roles_from_star(spark, hot), registered.RULES, folder=str(tmp_path))
+    repeats, dim = market.content_repeats, market.app_dimension
+    assert repeats.count() == repeats.select("content_id").distinct().count()
+    for df in (
+        subscriptions.repeat_purchase_by_type(repeats, dim),
+        subscriptions.repeat_by_content(repeats, dim, "Utilities"),
+    ):
+        assert "acct_id" not in df._jdf.queryExecution().executedPlan().toString()

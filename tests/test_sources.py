@@ -27,7 +27,7 @@ def test_a_market_from_csv_files(spark, tmp_path):
         n: schema for n, (_, schema) in INPUT_FILES.items()
     }
     m = Market(spark, roles, Rules(), folder=str(tmp_path / "kept"))
-    assert rows(trends.performance_daily(m.final), "transaction_dt", "daily_sales") == [
+    assert rows(trends.performance_daily(m.daily), "transaction_dt", "daily_sales") == [
         (day("2016-07-04"), 4.99), (day("2016-07-05"), 0.0)
     ]
     assert quality.null_report(roles).filter("null_ct > 0").count() == 0
@@ -67,10 +67,64 @@ def test_kept_tables_are_built_once_and_read_from_files(spark, tmp_path):
     assert "FileScan parquet" in first._jdf.queryExecution().executedPlan().toString()
 
 
-def test_shared_folder_is_the_session_setting(spark, tmp_path):
-    before = spark.conf.get(CHECKPOINT_DIR, None)
-    folder = shared_folder(spark)
-    assert folder == (before.rstrip("/") if before else folder)
+def test_shared_folder_is_the_session_setting(spark):
+    assert shared_folder(spark) == spark.conf.get(CHECKPOINT_DIR).rstrip("/")
+
+
+def test_a_failed_build_can_be_repeated(spark, tmp_path):
+    tables, ready = KeptTables(spark, str(tmp_path)), []
+
+    def build():
+        good = spark.range(3)
+        return good if ready else good.selectExpr("CAST(raise_error('no') AS BIGINT) AS id")
+
+    with pytest.raises(Exception, match="no"):
+        tables.get("t", build)
+    ready.append(1)
+    assert tables.get("t", build).count() == 3
+
+
+def test_close_deletes_all_that_was_written(spark, small, tmp_path):
+    import __spark_entry__ as registered
+    from shelfscope import roles_from_star
+
+    (tmp_path / "other").mkdir()
+    m = Market(spark, roles_from_star(spark, small), registered.RULES, folder=str(tmp_path))
+    assert reports()["csv_round_trip"](m).count() > 0
+    assert len(list(tmp_path.iterdir())) == 2
+    m.close()
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    text = "\n".join(["no,price,acct_id,create_dt,content_id,device_id", "0,1.50,u,2016-07-01,c1,2", ""])
+    (tmp_path / "t.csv").write_text(text)
+    got = read_table(spark, str(tmp_path / "t.csv"), TRANSACTION)
+    assert rows(got, "create_dt", "content_id", "acct_id", "device_id") == [(day("2016-07-01"), "c1", "u", 2)]
+    assert got.schema == TRANSACTION
+    (tmp_path / "u.csv").write_text("price,acct_id\n1,u\n")
+    with pytest.raises(ValueError, match="create_dt, content_id, device_id"):
+        read_table(spark, str(tmp_path / "u.csv"), TRANSACTION)
+
+
+def test_prices_are_not_rounded(spark, tmp_path):
+    head = "create_dt,content_id,acct_id,price,device_id\n"
+    (tmp_path / "a.csv").write_text(head + "2016-07-01,c,u,1500000,1\n")
+    assert float(read_table(spark, str(tmp_path / "a.csv"), TRANSACTION).first().price) == 1500000
+    (tmp_path / "b.csv").write_text(head + "2016-07-01,c,u,4.995,1\n")
+    with pytest.raises(Exception, match="does not fit"):
+        read_table(spark, str(tmp_path / "b.csv"), TRANSACTION).collect()
+
+
+def test_names_with_quotes_and_line_breaks(spark, tmp_path):
+    schema = INPUT_FILES["app"][1]
+    name = 'Bob ""The"" App, HD'
+    (tmp_path / "app.csv").write_text(f'content_id,app_name,category_id,device_id\nA,"{name}\nx",1,2\n')
+    found = read_table(spark, str(tmp_path / "app.csv"), schema, line_breaks=True)
+    assert rows(found, "app_name") == [('Bob "The" App, HD\nx',)]
+    odd = spark.createDataFrame([("A", 'a "b"\n\\ c,', 1, 2), ("B", "\\", 1, 2)], schema)
+    write_table(odd, str(tmp_path / "again"))
+    assert rows(read_table(spark, str(tmp_path / "again"), schema, line_breaks=True)) == rows(odd)
 
 
 def test_all_outputs_are_written(spark, small, tmp_path):
