@@ -10,8 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-WAREHOUSE_DIR = "spark.sql.warehouse.dir"
+from shelfscope.sources.kept import shared_folder
 
 #: Bytes of text that a task holds as arrays at once; a longer single text is taken alone.
 CHUNK_BYTES = 8 << 20
@@ -19,8 +18,7 @@ CHUNK_BYTES = 8 << 20
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder of ``spark.checkpoint.dir``, or of the warehouse if unset."""
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)
-    return f"{base.rstrip('/')}/shelfscope-llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/shelfscope-llm/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +49,3 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         total += int(length)
     if first < batch.num_rows:
         yield batch.slice(first)
-
-
-def long_hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
