@@ -201,7 +201,8 @@ def train(
     rows = only(docs, id=id_col, text=text_col)
     known = only(labels, id=id_col, label=label_col).dropna().dropDuplicates(["id"])
     learn = bounded(known.where(in_training(F.col("id"))), sample)
-    pulled = rows.join(learn, "id").select("text", "label", F.xxhash64("id").alias("order"))
+    # The sample is bounded, whatever the corpus.
+    pulled = rows.join(F.broadcast(learn), "id").select("text", "label", F.xxhash64("id").alias("order"))
     found = pulled.toArrow().sort_by("order")
     label = found.column("label").to_numpy().astype(float)
     if not 0 < label.sum() < len(label):

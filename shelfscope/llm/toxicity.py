@@ -131,7 +131,8 @@ def classify(
     rows = only(docs, id=id_col, text=text_col)
     known = labels.select(F.col(id_col).alias("id"), *categories).dropna().dropDuplicates(["id"])
     learn = bounded(known.where(in_training(F.col("id"))), sample)
-    pulled = rows.join(learn, "id").select("text", *categories, F.xxhash64("id").alias("order"))
+    # The sample is bounded, whatever the corpus.
+    pulled = rows.join(F.broadcast(learn), "id").select("text", *categories, F.xxhash64("id").alias("order"))
     found = pulled.toArrow().sort_by("order")
     texts = found.column("text").combine_chunks().cast(pa.string())
     given = {c: found.column(c).to_numpy().astype(float) for c in categories}
