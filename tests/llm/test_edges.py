@@ -2,7 +2,7 @@
 
 import public_tokenizers
 import pytest
-from conftest import EDGES, LONG
+from samples import EDGES, LONG
 from pyspark.sql import functions as F
 from shelfscope.llm import (
     decontaminate,

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import zstandard
-from conftest import words
+from samples import words
 from shelfscope.llm import packing, token_store, warc
 from shelfscope.llm.files import read_binary
 from shelfscope.llm.shared import new_folder

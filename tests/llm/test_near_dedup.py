@@ -1,7 +1,7 @@
 from collections import Counter
 
 import numpy as np
-from conftest import edited, words
+from samples import edited, words
 from shelfscope.llm import near_dedup
 
 

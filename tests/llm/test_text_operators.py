@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import edited, words
+from samples import edited, words
 from shelfscope.llm import decontaminate, line_crf, line_templates, quality_rules, substrings, toxicity
 from shelfscope.llm.words import words_of
 
