@@ -124,7 +124,8 @@ def templates(rows: DataFrame, leading: int, min_docs: int, least_tokens: int, c
             )
             yield pa.record_batch([pa.array(lines.form[of].view(np.int64)), tokens], ["form", "tokens"])
 
-    fetched = rows.join(wanted, "id").mapInArrow(fetch, "form long, tokens array<long>")
+    # Sorted on both sides, at any size: the plan and its cost for each row stay the same.
+    fetched = rows.join(wanted.hint("merge"), "id").mapInArrow(fetch, "form long, tokens array<long>")
     fetched = fetched.dropDuplicates(["form"]).join(forms, "form")
     placed = kept(
         fetched.where(F.size("tokens") >= least_tokens).select(
@@ -219,7 +220,8 @@ def drop_lines(
 
     counts = T.StructType().add("n_lines", "long").add("n_dropped", "long")
     schema = T.StructType([*rows.schema.fields, *counts.fields])
-    cleaned = rows.join(found, "id", "left").select("id", "text", "rest", "forms").mapInArrow(cut, schema)
+    joined = rows.join(found.hint("merge"), "id", "left")
+    cleaned = joined.select("id", "text", "rest", "forms").mapInArrow(cut, schema)
     own = {id_col: F.col("id"), text_col: F.col("text")}
     columns = [own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns if c not in counts.names]
     return cleaned.select(*columns, *counts.names)
