@@ -9,9 +9,10 @@ register with a probability equal to their weighted Jaccard similarity. Only poi
 still be earliest are drawn: about m log m for m registers, however many shingles there are.
 
 Documents that agree in a band of registers are candidates. In every bucket a hub is compared with
-the others; a bucket whose documents are all connected by then needs nothing more, the others get
-further hubs, and at last all pairs across their classes. Comparisons are exact: the overlap of
-the two multisets.
+the others; a bucket whose documents are all connected by then needs nothing more, and the others
+get further hubs. What is left is cut into tiles of bounded size, and every two tiles of a bucket
+meet in a task of their own, which gives the links between classes and no pairs. Comparisons are
+exact: the overlap of the two multisets.
 """
 
 from __future__ import annotations
@@ -165,33 +166,85 @@ def links(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return compared.where(F.col("similarity") >= least)
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Shared weight of every two multisets, by products of their incidence in shared elements."""
+    owner = np.repeat(np.arange(len(bags)), [int(times.sum()) for _, times in bags])
+    # The k-th copy of a hash is an element of its own, so that a multiset is a set.
+    copies = np.concatenate([np.arange(n) for _, times in bags for n in times.tolist()] or [np.zeros(0)])
+    value = np.concatenate([np.repeat(h, times) for h, times in bags]).view(np.uint64)
+    element = mix(value ^ mix(copies.astype(np.uint64) + M2))
+    distinct, at, times = np.unique(element, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    shared = times[at] > 1
+    row, column = owner[shared], place[at[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(bags), len(bags)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [low, low + 2048])
+        part = np.zeros((len(bags), 2048), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [times.sum() for _, times in bags])  # also what nobody shares
+    return out
+
+
+def tile_links(inner: DataFrame, held: DataFrame, least: float, tile: int) -> DataFrame:
+    """Links between different classes of each bucket of ``inner`` (bucket, id, class).
+
+    A bucket is cut into tiles of about ``tile`` documents, and any two of them (or one, if there
+    are no more) are compared in one group. Each document then names one partner of each class.
+    """
+    sizes = inner.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    placed = inner.join(kept(sizes, "tiles"), "bucket").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "class"
+    )
+    full = kept(placed, "placed").join(held, "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        bag = group.column("bag").combine_chunks()
+        found = [
+            tuple(bag.field(k)[row].values.to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row in range(group.num_rows)
+        ]
+        both = overlaps(found).astype(np.float64)
+        total = np.array([times.sum() for _, times in found], np.float64)
+        cls, ids = group.column("class").to_numpy(), group.column("id").to_numpy()
+        alike = both / (total[:, None] + total[None, :] - both) >= least
+        x, y = np.nonzero(alike & (cls[:, None] != cls[None, :]))
+        _, first = np.unique(np.stack([x, cls[y]], 1), axis=0, return_index=True)
+        x, y = ids[x[first]], ids[y[first]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The least id reachable from each id that has an edge (id, class).
 
-    Every id takes the least class among its neighbours' and then the class of that class, until
-    nothing changes; paths halve in each turn.
+    In each turn an id takes the least class among its neighbours', and then the class of that
+    id, until nothing changes; paths at least halve. One small table is written a turn.
     """
     edges = edges.select("a", "b").distinct()
     both = kept(edges.union(edges.select("b", "a")), "edges")
-    now = kept(
-        both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class")), "classes"
-    )
+    now = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
+    now = kept(now.select("id", F.least("id", "near").alias("class")), "classes")
     while True:
-        near = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("class").alias("near"))
-        joined = now.join(near, now["id"] == near["a"], "left").select(
-            "id", F.col("class").alias("old"), F.least("class", F.coalesce("near", "class")).alias("low")
+        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
+        lowered = now.join(near.agg(F.min("class").alias("near")), "id").select(
+            "id", F.col("class").alias("old"), F.least("class", "near").alias("low")
         )
-        joined = kept(joined, "lowered")
-        jump = joined.select(F.col("id").alias("low"), F.col("low").alias("lower"))
-        turned = kept(
-            joined.join(jump, "low", "left").select(
-                "id", "old", F.least("low", F.coalesce("lower", "low")).alias("class")
-            ),
-            "classes",
+        jump = now.select(F.col("id").alias("low"), F.col("class").alias("lower"))
+        turned = lowered.join(jump, "low", "left").select(
+            "id", "old", F.least("low", F.coalesce("lower", "low")).alias("class")
         )
-        if turned.where("class <> old").isEmpty():
-            return turned.select("id", "class")
+        turned = kept(turned, "classes")
         now = turned.select("id", "class")
+        if turned.where("class <> old").isEmpty():
+            return now
 
 
 def near_duplicates(
@@ -200,7 +253,8 @@ def near_duplicates(
     shingle_words: int = 5,
     bands: int = 25,
     registers: int = 5,
-    hub_rounds: int = 3,
+    hub_rounds: int = 2,
+    tile: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -220,7 +274,13 @@ def near_duplicates(
     firsts = kept(
         marked.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first")), "firsts"
     )
-    member = marked.join(firsts, "key", "left").select("id", F.coalesce("first", "id").alias("first"))
+    member = kept(
+        marked.join(firsts, "key", "left").select("id", F.coalesce("first", "id").alias("first")), "members"
+    )
+    # An id that several texts have ties what stands for them together.
+    several = member.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("last"))
+    several = several.where("a < last").select("id", "a")
+    tied = kept(member.join(several, "id").where("a < first").selectExpr("a", "first AS b"), "tied")
     own = marked.join(firsts.withColumnRenamed("first", "id"), ["key", "id"], "left_semi")
     band = own.select("id", F.explode("bands").alias("bucket")).distinct()
     hubs = band.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
@@ -233,13 +293,14 @@ def near_duplicates(
         return crossing.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
     asked = kept(pairs(inside.where("id <> hub")), "pairs")
-    found = [kept(links(asked, held, similarity), "links")]
-    classes = components(found[0])
+    found = [tied, kept(links(asked, held, similarity).select("a", "b"), "links")]
+    classes = components(reduce(DataFrame.union, found))
+    open_buckets = inside.select("bucket", "id")
     for turn in [*range(hub_rounds), None]:
         labelled = kept(
-            inside.select("bucket", "id")
-            .join(classes, "id", "left")
-            .select("bucket", "id", F.coalesce("class", "id").alias("class")),
+            open_buckets.join(classes, "id", "left").select(
+                "bucket", "id", F.coalesce("class", "id").alias("class")
+            ),
             "labelled",
         )
         size = labelled.groupBy("bucket").agg(
@@ -250,28 +311,27 @@ def near_duplicates(
         if left.isEmpty():
             break
         inner = kept(labelled.join(left, "bucket"), "unsettled")
-        other = inner.select("bucket", F.col("id").alias("hub"), F.col("class").alias("other"))
-        if turn is not None:
-            order = F.xxhash64("hub", F.lit(turn))
-            other = other.groupBy("bucket").agg(F.min_by(F.struct("hub", "other"), order).alias("to"))
-            other = kept(other.select("bucket", "to.*"), "hubs")
-        crossing = inner.join(other, "bucket").where("class <> other")
+        open_buckets = inner.select("bucket", "id")
+        if turn is None:
+            found.append(kept(tile_links(inner, held, similarity, tile), "links"))
+            classes = components(reduce(DataFrame.union, found))
+            break
+        # Another hub for each bucket, compared with the documents of other classes.
+        order = F.xxhash64("id", F.lit(turn))
+        hub = inner.groupBy("bucket").agg(F.min_by(F.struct("id", "class"), order).alias("to"))
+        hub = hub.select("bucket", F.col("to.id").alias("hub"), F.col("to.class").alias("other"))
+        crossing = inner.join(kept(hub, "hubs"), "bucket").where("class <> other")
         new = kept(pairs(crossing).join(asked, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             asked = asked.union(new)
-            found.append(kept(links(new, held, similarity), "links"))
+            found.append(kept(links(new, held, similarity).select("a", "b"), "links"))
             classes = components(reduce(DataFrame.union, found))
 
-    classes = components(reduce(DataFrame.union, found).select("a", "b").union(
-        member.where("id <> first").select("id", "first")
-    ))
-    per_id = marked.select("id").distinct().join(classes, "id", "left")
-    per_id = per_id.select("id", F.coalesce("class", "id").alias("class_id"))
-    sizes = kept(
-        named.groupBy("id").count().join(per_id, "id").groupBy("class_id").agg(F.sum("count").alias("class_size")),
-        "sizes",
-    )
-    labelled = kept(per_id, "labels").join(sizes, "class_id")
+    of_first = classes.withColumnRenamed("id", "first")
+    per_id = member.join(of_first, "first", "left").select("id", F.coalesce("class", "first").alias("class_id"))
+    per_id = kept(per_id.groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")), "labels")
+    sizes = kept(per_id.groupBy("class_id").agg(F.sum("n").alias("class_size")), "sizes")
+    labelled = per_id.join(sizes, "class_id")
     return (
         rows.select("id")
         .join(labelled, "id", "left")

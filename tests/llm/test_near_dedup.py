@@ -70,5 +70,16 @@ def test_no_link_is_lost_in_the_last_turn(spark):
     docs = [(k, edited(words(100, 5), 60, k)) for k in range(30)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     for rounds in (0, 1):
-        found = near_dedup.near_duplicates(frame, hub_rounds=rounds)
+        found = near_dedup.near_duplicates(frame, hub_rounds=rounds, tile=8)
         assert {r.doc_id: r.class_id for r in found.collect()} == brute(docs)
+
+
+def test_overlaps_equal_counters():
+    rng = np.random.default_rng(4)
+    bags = []
+    for _ in range(20):
+        value, times = np.unique(rng.integers(0, 30, rng.integers(1, 60)), return_counts=True)
+        bags.append((value, times.astype(np.int32)))
+    counters = [Counter(dict(zip(v.tolist(), t.tolist()))) for v, t in bags]
+    got = near_dedup.overlaps(bags)
+    assert got.tolist() == [[(x & y).total() for y in counters] for x in counters]
