@@ -3,8 +3,8 @@
 A line goes down a tree of fixed depth: its number of tokens, then its ``leading`` first tokens,
 where a token with a digit counts as a variable field. In a leaf, a token stays part of the
 template if enough documents have it at that place, and else becomes a variable field too. A
-template that recurs in ``min_docs`` documents is dropped wherever it stands, unless it makes up
-most of a document: such documents are copies, which is not for lines to decide.
+template that recurs in ``min_docs`` documents is dropped wherever it stands, whatever its share of
+a document. Near copies count as one document, so that copies alone make no line recur.
 
 Only counts are gathered: of documents for each leaf and each form of a line (its tokens with the
 variable fields), then of tokens by place for leaves that recur. No leaf is ever held together.
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscope.llm.shared import chunks, kept, only
+from shelfscope.llm.near_dedup import near_duplicates
+from shelfscope.llm.shared import chunks, kept
 from shelfscope.llm.words import M1, M3, hashes, mix, spans
 
 FIELD = np.uint64(0xF1E1D)  # stands for a variable field
@@ -77,13 +78,14 @@ def parts(batches: Iterator[pa.RecordBatch], leading: int) -> Iterator[tuple[pa.
 
 
 def documents_of(lines: DataFrame, *keys: str) -> DataFrame:
-    """Number of documents, and the first, of each key."""
-    return lines.select(*keys, "id").distinct().groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("id").alias("first")
-    )
+    """Number of classes of documents, and the first document, of each key."""
+    classes = lines.groupBy(*keys, "class").agg(F.min("id").alias("first"))
+    return classes.groupBy(*keys).agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
-def templates(rows: DataFrame, leading: int, min_docs: int, least_tokens: int, constant: float) -> DataFrame:
+def templates(
+    rows: DataFrame, leading: int, min_docs: int, least_tokens: int, constant: float, similarity: float
+) -> DataFrame:
     """Forms of lines whose template recurs, and the forms' ids by document: (id, forms)."""
 
     def marks(batches):
@@ -103,9 +105,17 @@ def templates(rows: DataFrame, leading: int, min_docs: int, least_tokens: int, c
     lines = marked.select("id", F.explode(F.arrays_zip("leaves", "forms")).alias("x")).select(
         "id", F.col("x.leaves").alias("leaf"), F.col("x.forms").alias("form")
     )
-    # Leaves of enough documents, and in them each form with its documents.
-    leaves = kept(documents_of(lines, "leaf").where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    inside = lines.join(leaves, "leaf")
+    # Leaves of enough documents, whose documents are then counted once for each class of copies.
+    by_leaf = documents_of(lines.withColumn("class", F.col("id")), "leaf")
+    leaves = kept(by_leaf.where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    inside = kept(lines.join(leaves, "leaf"), "inside")
+    # Sorted on both sides, at any size: the plan and its cost for each row stay the same.
+    sharing = kept(inside.select("id").distinct(), "sharing")
+    rows = kept(rows.join(sharing.hint("merge"), "id", "left_semi"), "texts")
+    classes = near_duplicates(rows, similarity, id_col="id").select("doc_id", "class_id").distinct()
+    classes = kept(classes.toDF("id", "class"), "classes")
+    inside = kept(inside.join(classes, "id"), "inside")
+    # Each form with its classes.
     forms = kept(documents_of(inside, "leaf", "form"), "forms")
     wanted = forms.groupBy(F.col("first").alias("id")).agg(F.collect_set("form").alias("wanted"))
 
@@ -124,7 +134,6 @@ def templates(rows: DataFrame, leading: int, min_docs: int, least_tokens: int, c
             )
             yield pa.record_batch([pa.array(lines.form[of].view(np.int64)), tokens], ["form", "tokens"])
 
-    # Sorted on both sides, at any size: the plan and its cost for each row stay the same.
     fetched = rows.join(wanted.hint("merge"), "id").mapInArrow(fetch, "form long, tokens array<long>")
     fetched = fetched.dropDuplicates(["form"]).join(forms, "form")
     placed = kept(
@@ -154,7 +163,7 @@ def templates(rows: DataFrame, leading: int, min_docs: int, least_tokens: int, c
         "form", F.coalesce("template", "form").alias("template")
     )
     named = kept(named, "templates")
-    by_template = documents_of(inside.select("id", "form").join(named, "form"), "template")
+    by_template = documents_of(inside.select("id", "class", "form").join(named, "form"), "template")
     dropped = kept(
         named.join(by_template.where(F.col("n") >= min_docs).select("template"), "template").select("form"),
         "dropped",
@@ -170,7 +179,7 @@ def drop_lines(
     min_docs: int = 4,
     least_tokens: int = 4,
     constant: float = 0.6,
-    most_of_document: float = 0.5,
+    similarity: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -178,16 +187,18 @@ def drop_lines(
     n_lines (those with a token) and n_dropped, which replace columns of these names.
 
     A line of fewer than ``least_tokens`` tokens, or whose template would keep less than the share
-    ``constant`` of them, recurs only as it is (but for its fields with digits). A document in
-    which recurring lines make up more than ``most_of_document`` of the tokens stays as it is.
-    Lines end at line feeds; those without a token stay. A document counts once for a line however
-    often it has it; rows with equal ids count as one document. Rows without id stay as they are,
-    and count for none. A null text stays null.
+    ``constant`` of them, recurs only as it is (but for its fields with digits). Lines end at
+    line feeds; those without a token stay. A document counts once for a line however often it has
+    it, and so do all documents of a class of near copies (an overlap of ``similarity``, as
+    ``near_duplicates`` links them, among the documents whose lines share a leaf with others); rows
+    with equal ids count as one document. Recurring lines go from every document that has them, so
+    a document of nothing else becomes empty. Rows without id stay as they are, and count for none.
+    A null text stays null.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
     rest = F.struct(F.lit(0).alias("_"), *[docs[c] for c in others])
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), rest.alias("rest"))
-    found = templates(rows.select("id", "text"), leading, min_docs, least_tokens, constant)
+    found = templates(rows.select("id", "text"), leading, min_docs, least_tokens, constant, similarity)
 
     def cut(batches):
         for part, lines in parts(batches, leading):
@@ -196,9 +207,6 @@ def drop_lines(
             owner = np.repeat(np.arange(part.num_rows), sizes)
             listed = asked.flatten().to_numpy().view(np.uint64) ^ mix(owner.astype(np.uint64))
             drop = lines.has & np.isin(lines.form ^ mix(lines.row.astype(np.uint64)), listed)
-            total = np.bincount(lines.row, lines.counts, part.num_rows)
-            gone = np.bincount(lines.row, lines.counts * drop, part.num_rows)
-            drop &= (gone <= most_of_document * total)[lines.row]
             n_lines = np.bincount(lines.row, lines.has, part.num_rows).astype(np.int64)
             n_dropped = np.bincount(lines.row, drop, part.num_rows).astype(np.int64)
             texts = part.column("text").to_pylist()

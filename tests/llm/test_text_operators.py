@@ -72,6 +72,21 @@ def test_recurring_templates_are_dropped(spark):
         assert (found[k].n_dropped, found[k].text) == (0, dict(docs)[k])
 
 
+def test_templates_go_from_documents_of_little_else_but_not_from_copies(spark):
+    notices = [f"Notice {k}: " + words(9, 6000 + k) for k in range(3)]
+    docs = [(k, "\n".join([notices[k % 3], notices[(k + 1) % 3], *[words(15, 100 * k + j) for j in range(6)]])) for k in range(9)]
+    docs += [(9, "\n".join([*notices, words(6, 1)])), (10, "\n".join([notices[0], notices[2]]))]
+    body = [words(16, 7000 + j) for j in range(30)]
+    docs += [(20 + k, "\n".join([*body[:k], words(16, 8000 + k), *body[k + 1 :]])) for k in range(6)]  # near copies
+    found = {r.doc_id: r for r in line_templates.drop_lines(frame(spark, docs)).collect()}
+    for k in range(9):
+        assert (found[k].n_dropped, found[k].text) == (2, "\n".join(dict(docs)[k].split("\n")[2:]))
+    assert (found[9].n_dropped, found[9].text) == (3, words(6, 1))
+    assert (found[10].n_dropped, found[10].text) == (2, "")
+    for k in range(20, 26):
+        assert (found[k].n_dropped, found[k].text) == (0, dict(docs)[k])
+
+
 def test_other_columns_stay(spark):
     docs = frame(spark, [(1, "a b c d e"), (2, "f g h i j")]).selectExpr("'x' AS forms", "doc_id", "text", "doc_id AS id")
     found = line_templates.drop_lines(docs)
