@@ -2,7 +2,8 @@
 
 A byte-level or word-end BPE never merges across the border of a run of non-space characters,
 so a text's ids are those of its pieces (a run, with the one space before it if any). Each
-distinct piece goes through the tokenizers library once while it stays in the cache.
+distinct piece goes through the tokenizers library once while it stays in the cache. The library
+cuts a text at its added tokens (such as <|endoftext|>) before all else, and so is done here.
 """
 
 from __future__ import annotations
@@ -31,16 +32,26 @@ DOUBLED = ["  ", " \n", "\n ", "\n\n"]
 
 
 class Encoder:
-    """Encodes texts; ``limit`` bounds the pieces held."""
+    """Encodes texts; ``limit`` bounds the pieces held.
 
-    def __init__(self, path: str, limit: int = 800_000):
+    With ``added_tokens`` the ids are those of the library as the file sets it up: strings of added
+    tokens get their ids. Without, these strings are ordinary text.
+    """
+
+    def __init__(self, path: str, limit: int = 800_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.limit = limit
-        self.ids: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.border = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+        # Such tokens are more than their string, and only the library can tell where they are.
+        self.whole = any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values())
+        self.ids: dict[str | bytes, bytes] = self._own()
         self.keeps_space = self._ids([" a"]) != self._ids(["a"])
         self.folds = self._ids(["A"]) == self._ids(["a"])
         self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
@@ -49,6 +60,18 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
+    def _own(self) -> dict[str | bytes, bytes]:
+        """Added tokens stand among the pieces as their ids."""
+        return {ids: ids for ids in self.added.values()}
+
+    def _split(self, text: str) -> list[str | bytes]:
+        if not any(a in text for a in self.added):
+            return self.pieces(text)
+        out: list[str | bytes] = []
+        for k, part in enumerate(self.border.split(text)):
+            out += [self.added[part]] if k % 2 else self.pieces(part)
+        return out
+
     def pieces(self, text: str) -> list[str]:
         plain = not any(c in text for c in RARE_ASCII)
         plain = plain and (text.isascii() or not any(c in text for c in RARE))
@@ -70,7 +93,9 @@ class Encoder:
         """The piece without its last mark, if the tokenizer takes that by itself."""
         if piece[-1:] in TAILS and piece[-2:-1].isalpha():
             piece = piece[:-1]
-        return piece.lower() if self.folds and piece.isascii() else piece
+        low = piece.lower() if self.folds and piece.isascii() else piece
+        # Lower-casing must not make an added token of what is none.
+        return piece if not low.isalpha() and any(a in low for a in self.added) else low
 
     def _learn(self, missing: set[str]) -> None:
         bases = {piece: self._base(piece) for piece in missing}
@@ -94,11 +119,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
+        if self.whole:
+            return self._ids(texts)
+        split = [self._split(t) for t in texts]
         missing = set().union(*split).difference(self.ids)
         if len(self.ids) + len(missing) > self.limit:
-            self.ids = {}
-            missing = set().union(*split)
+            self.ids = self._own()
+            missing = set().union(*split).difference(self.ids)
         self._learn(missing)
         get = self.ids.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
@@ -107,4 +134,4 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, added_tokens=True)

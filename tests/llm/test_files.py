@@ -33,6 +33,36 @@ def test_ids_equal_those_of_whole_texts():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
 
 
+def special_texts(n=3000):
+    rng = np.random.default_rng(6)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|EndOfText|>."]
+    alphabet = [*marks, " ", "  ", "\n", "\t", "a", "B", "it's", ".", "\u3000", "\u0301", "12"]
+    return ["x <|endoftext|> y", *["".join(rng.choice(alphabet, rng.integers(0, 14))) for _ in range(n)]]
+
+
+def test_ids_of_added_tokens_are_those_of_the_plain_library():
+    texts = special_texts() + odd_texts()
+    for path in (BYTES, WORDS):
+        want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        for limit in (300, 800_000):
+            got = Encoder(path, limit=limit, added_tokens=True).encode(texts)
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_stored_and_packed_ids_have_added_tokens(spark):
+    docs = [(k, t) for k, t in enumerate(special_texts(40))]
+    frame, path = spark.createDataFrame(docs, "doc_id long, text string"), new_folder(spark, "test")
+    token_store.write_tokens(frame, path, BYTES, 0, partitions=2)
+    stored = {r.doc_id: bytes(r.ids) for r in token_store.read_tokens(spark, path, with_ids=True).collect()}
+    packed = {k: b"" for k, _ in docs}
+    for r in packing.pack_documents(frame, WORDS).orderBy("doc_id", "start").collect():
+        packed[r.doc_id] += bytes(r.ids)
+    for found, file, end in ((stored, BYTES, 0), (packed, WORDS, 2)):
+        plain = Tokenizer.from_file(file)
+        want = {k: np.array([*plain.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes() for k, t in docs}
+        assert found == want
+
+
 def test_any_token_without_decoding():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 256, 3000), rng.integers(0, 2**32, 2000), [0, 255, 256, 65535, 65536]])
