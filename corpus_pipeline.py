@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: SQL has no tokenizer; tests hold the stages against brute-force versions.
+#: SQL has no tokenizer. Tests hold parts of the operators against brute force, but not the rows of run().
 ORACLE_SQL = None
 
 
