@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from shelfscope.llm import (
     decontaminate,
+    divergence,
     line_crf,
     line_templates,
     near_dedup,
+    nearest,
     packing,
     quality_rules,
+    ranking,
     substrings,
     token_store,
     toxicity,
@@ -95,6 +98,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all vectors."""
+    return nearest.neighbours(table(spark, folder, "embeddings"), asks=F.col("vec_id") % 20 == 0)
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language of all documents differ, and by which terms."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -106,4 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_templates": op8_line_templates,
     "op9_line_crf": op9_line_crf,
     "op10_packing": op10_packing,
+    "op11_nearest": op11_nearest,
+    "op12_divergence": op12_divergence,
+    "op13_ranking": op13_ranking,
 }

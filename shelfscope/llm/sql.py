@@ -156,9 +156,80 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
 FROM w LEFT JOIN left_over USING (doc_id)
 """
 
+CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           {CAPITALS.format("coalesce(text, '')")} AS text
+    FROM documents
+), t AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), terms AS (
+    SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), held AS (
+    SELECT lang, source, term, count(*) AS n, any_value(lang_n) AS lang_n
+    FROM t JOIN terms USING (lang, term) GROUP BY lang, source, term
+), langs AS (
+    SELECT lang, count(*) AS v, sum(lang_n) AS total FROM terms GROUP BY lang
+), pairs_of AS (
+    SELECT DISTINCT lang, source FROM d
+), groups AS (
+    SELECT lang, source, coalesce(v, 0) + coalesce(sum(n), 0) AS w, coalesce(any_value(total), 0) + coalesce(v, 0) AS lang_w
+    FROM pairs_of LEFT JOIN held USING (lang, source) LEFT JOIN langs USING (lang) GROUP BY lang, source, v
+), dense AS (
+    SELECT lang, source, term, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // w AS p
+    FROM groups JOIN terms USING (lang) LEFT JOIN held USING (lang, source, term)
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), single AS (
+    SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM (
+        SELECT lang, source, term, 1 + 1000000000::HUGEINT * (n + 1) // w AS p,
+               1 + 1000000000::HUGEINT * (lang_n + 1) // lang_w AS q
+        FROM held JOIN groups USING (lang, source)
+    ) WHERE p > q
+), everything AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL SELECT lang, source, 'term', item, value FROM single
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM everything QUALIFY part = 'pair' OR rank <= 200
+"""
+
+OP13_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, {OP13_TERMS.format(CAPITALS.format("text"))} AS t FROM documents
+), stats AS (
+    SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0
+), items AS (
+    SELECT row_number() OVER () AS i, item_id, unnest({OP13_TERMS.format(CAPITALS.format("text"))}) AS term FROM benchmark
+), tf AS (
+    SELECT r, doc_id, len(t) AS n, term, count(*) AS tf
+    FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d)
+    WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, stats GROUP BY term, n_docs
+), scored AS (
+    SELECT i, item_id, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS score
+    FROM items JOIN weights USING (term) JOIN tf USING (term), stats GROUP BY i, item_id, r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank,
+       doc_id, score::BIGINT AS score
+FROM scored WHERE score > 0 AND doc_id IS NOT NULL QUALIFY rank <= 20
+"""
+
 SQL = {
     "op1_near_dedup": OP1_SQL,
     "op2_quality_rules": _op2(),
     "op6_warc": OP6_SQL,
     "op7_substrings": OP7_SQL,
+    "op12_divergence": OP12_SQL,
+    "op13_ranking": OP13_SQL,
 }
