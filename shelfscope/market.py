@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfscope.functions.text import column_name
-from shelfscope.plans import accounts, facts, leaders, pricing, subscriptions, trends
+from shelfscope.plans import accounts, facts, leaders, pricing, rollups, subscriptions, trends
 from shelfscope.rules import Rules
 from shelfscope.sources.files import Roles
-from shelfscope.sources.kept import KeptTables, clustered
+from shelfscope.sources.kept import (
+    KeptTables,
+    Profile,
+    buckets_for,
+    checkpointed,
+    clustered,
+    observed,
+)
 
 MONTH = "transaction_year_month"
 
@@ -31,18 +41,45 @@ class Market:
         self.rules = rules or Rules()
         self._spark = spark
         self._kept = KeptTables(spark, folder) if keep else None
+        self._trips: KeptTables | None = None
+        self._rollups: rollups.Rollups | None = None
+        self._scanned: dict[str, Profile] = {}
         self._categories: dict[str, str] | None = None
         self._months: tuple[str, ...] | None = None
 
     def close(self) -> None:
         """Delete the kept tables and the files of round trips; the market is not used again."""
-        if self._kept:
-            self._kept.close()
+        for tables in (self._kept, self._trips):
+            if tables:
+                tables.close()
+        self._rollups, self._scanned = None, {}
 
     @property
     def folder(self) -> str:
         """Where this market writes: ``close`` deletes it."""
-        return (self._kept or KeptTables(self._spark)).folder
+        if not self._kept and not self._trips:
+            self._trips = KeptTables(self._spark)
+        return (self._kept or self._trips).folder
+
+    @property
+    def keeps(self) -> bool:
+        """Whether derived tables are stored, rollups among them."""
+        return self._kept is not None
+
+    def step(self, df: DataFrame) -> DataFrame:
+        """A stored copy of a step: in this market's folder, or a checkpoint."""
+        return self._kept.step(df) if self._kept else checkpointed(df)
+
+    def profile(self, name: str) -> Profile:
+        """Rows and present values of a derived table: counted when it was written, or by one scan."""
+        table = getattr(self, name)
+        if self._kept and name in self._kept.profiles:
+            return self._kept.profiles[name]
+        if name not in self._scanned:
+            counted, profile = observed(table)
+            counted.write.format("noop").mode("overwrite").save()
+            self._scanned[name] = profile()
+        return self._scanned[name]
 
     @property
     def categories(self) -> dict[str, str]:
@@ -142,16 +179,86 @@ class Market:
 
         return self._get("final", build, partition_by=[MONTH])
 
+    def _bucketed(
+        self, by: str, sides: Mapping[str, str], largest: DataFrame
+    ) -> tuple[DataFrame, DataFrame] | None:
+        """Two derived tables, as copies in buckets of ``by``: none if a key has too many rows.
+
+        ``sides`` maps the copies to the tables, the large one first; ``largest`` has the rows of the most
+        frequent key.
+        """
+        if not self._kept:
+            return None
+        table = next(iter(sides.values()))
+        seen = self.profile(table)
+        missing = seen.row_ct - seen.value_ct[by]
+        buckets = buckets_for(seen.row_ct, max(largest.first()[0] or 0, missing))
+        if not buckets:
+            return None
+        first, second = (
+            self._get(name, lambda source=source: getattr(self, source), bucket_by=[by], buckets=buckets)
+            for name, source in sides.items()
+        )
+        return first, second
+
+    @property
+    def final_by_account(self) -> DataFrame:
+        """The final fact from tables in buckets of accounts: its join moves no purchases.
+
+        If one account has too many of them, it is the fact as it is.
+        """
+        largest = self.activity.dropna(subset=["acct_id"]).agg(F.max("total_txn"))
+        sides = {"resolved_by_account": "resolved", "traits_by_account": "account_traits"}
+        found = self._bucketed("acct_id", sides, largest)
+        if not found:
+            return self.final
+        purchases, traits = found
+        return facts.final_fact(facts.ordinary_purchases(purchases, traits), traits)
+
+    @property
+    def priced_by_content(self) -> DataFrame:
+        """Purchases with their regular prices, from tables in buckets of contents, likewise."""
+        counted = self.final.dropna(subset=["content_id"]).groupBy("content_id").count()
+        sides = {"final_by_content": "final", "prices_by_content": "regular_price"}
+        found = self._bucketed("content_id", sides, counted.agg(F.max("count")))
+        return pricing.priced_transactions(*(found or (self.final, self.regular_price)))
+
+    @property
+    def rollups(self) -> rollups.Rollups:
+        """Sums, sketches and bitmaps by day: the base of the reports by day, weekday, week and month."""
+        if not self._kept:
+            raise ValueError("a market that keeps no tables has no rollups")
+        if self._rollups is None:
+            grown = rollups.Rollups(self._spark, f"{self.folder}/rollups", self._kept.step)
+            grown.load(self.final)
+            self._rollups = grown
+        return self._rollups
+
     @property
     def daily(self) -> DataFrame:
         """Measures by day: small, and the base of the weekday reports."""
-        return self._get("daily", lambda: trends.daily_counts(self.final))
+        return self._get(
+            "daily",
+            lambda: rollups.daily(self.rollups) if self.keeps else trends.daily_counts(self.final),
+        )
 
     @property
     def weekly_category(self) -> DataFrame:
         """Measures by week and category."""
+
+        def build() -> DataFrame:
+            if self.keeps:
+                return rollups.performance_week_category(self.rollups)
+            return trends.performance_week_category(self.final)
+
+        return self._get("weekly_category", build)
+
+    @property
+    def week_activity(self) -> DataFrame:
+        """Every account with what it bought in the rules' last week."""
         return self._get(
-            "weekly_category", lambda: trends.performance_week_category(self.final)
+            "week_activity",
+            lambda: accounts.week_account_activity(self.final, self.roles.account, self.rules.last_week),
         )
 
     @property
@@ -169,7 +276,7 @@ class Market:
     @property
     def app_week(self) -> DataFrame:
         """Ranked apps by week."""
-        return self._get("app_week", lambda: leaders.app_week(self.app_week_counts))
+        return self._get("app_week", lambda: leaders.app_week(self.app_week_counts, self.step))
 
     @property
     def subscription(self) -> DataFrame:

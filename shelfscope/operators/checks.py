@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numbers import ratio, rows
 from shelfscope.operators.joins import without_ids
+from shelfscope.sources.kept import Profile
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -29,6 +30,17 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def profile_rows(spark: SparkSession, profiles: Mapping[str, Profile]) -> DataFrame:
+    """(table_name, column_name, data_type, value_ct, null_ct) of what was counted: a row for each column."""
+    found = [
+        (name, field.name, field.dataType.simpleString(), p.value_ct[field.name], p.row_ct - p.value_ct[field.name])
+        for name, p in profiles.items()
+        for field in p.schema
+    ]
+    kinds = "table_name string, column_name string, data_type string, value_ct long, null_ct long"
+    return spark.createDataFrame(found, kinds)
+
+
 def duplicate_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows, distinct rows, surplus copies, their rate in percent, and uniqueness.
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numbers import change, change_rate
+from shelfscope.operators.ranges import PART, Keep, in_ranges
+from shelfscope.sources.kept import checkpointed
 
 
 def with_previous(
@@ -32,74 +34,47 @@ def with_change(
     return df.withColumns(added)
 
 
-# Slices of a column: quantiles of its distinct values, each cut into equal steps.
-QUANTILES = [k / 64 for k in range(65)]
-STEPS = 64
-
-
-def value_edges(value: Column) -> Column:
-    """Edges of the slices, as an aggregate over the distinct values."""
-    return F.percentile_approx(value, QUANTILES, 10_000)
-
-
-def value_slice(value: Column, edges: Column) -> Column:
-    """Slice of a value; never falls when the value rises.
-
-    Wherever the values lie, a slice between two quantiles holds a sixty-fourth of the distinct
-    ones at most, and less where they are spread out: values around a quantile share it.
-    """
-    below = F.size(F.filter(edges, lambda edge: edge < value))
-    low, high = F.get(edges, below - 1), F.get(edges, below)
-    step = F.floor(F.try_divide((value - low) * STEPS, high - low))
-    step = F.least(F.greatest(step, F.lit(0)), F.lit(STEPS - 1))
-    return (below * STEPS + F.coalesce(step, F.lit(0))).cast("int")
-
-
-def _value_ranks(df: DataFrame, value: str, names: Mapping[str, Sequence[str]]) -> DataFrame:
+def _value_ranks(df: DataFrame, value: str, names: Mapping[str, Sequence[str]], keep: Keep) -> DataFrame:
     """Ranks of the distinct values of each finest group."""
     finest = list(dict.fromkeys(key for keys in names.values() for key in keys))
-    ties = df.groupBy(*finest, value).agg(F.count(F.lit(1)).alias("n"))
-    number = F.col(value).cast("double")
-    # Every rank orders within groups that these keys tell apart: few, as its groups are.
+    ties = keep(df.groupBy(*finest, value).agg(F.count(F.lit(1)).alias("n")))
+    # Every rank orders within groups that these keys tell apart.
     common = [key for key in finest if all(key in keys for keys in names.values())]
-    edges = ties.groupBy(*common).agg(value_edges(number).alias("edges"))
-    ties = ties.join(F.broadcast(edges), common).withColumn(
-        "slice", value_slice(number, F.col("edges"))
-    )
-    heads = ties.groupBy(*finest, "slice").agg(F.sum("n").alias("n"))
+    placed = in_ranges(ties, [*common, value], keep)
+    heads = placed.groupBy(*finest, PART).agg(F.sum("n").alias("n"))
     for name, keys in names.items():
-        higher = (
-            Window.partitionBy(*keys)
-            .orderBy(F.desc("slice"))
-            .rangeBetween(Window.unboundedPreceding, -1)
+        later = (
+            Window.partitionBy(*keys).orderBy(F.desc(PART)).rangeBetween(Window.unboundedPreceding, -1)
         )
-        heads = heads.withColumn(f"{name}_above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
-    placed = ties.join(heads.drop("n"), [*finest, "slice"])
+        heads = heads.withColumn(f"{name}_above", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    placed = placed.join(heads.drop("n"), [*finest, PART])
     for name, keys in names.items():
-        mine = Window.partitionBy(*keys, "slice")
+        mine = Window.partitionBy(*keys, PART)
         reached = mine.orderBy(F.desc(value)).rangeBetween(
             Window.unboundedPreceding, Window.currentRow
         )
-        equal = Window.partitionBy(*keys, "slice", value)
+        equal = Window.partitionBy(*keys, PART, value)
         rank = F.col(f"{name}_above") + F.sum("n").over(reached) - F.sum("n").over(equal) + 1
         placed = placed.withColumn(name, rank.cast("int"))
     return placed.select(*finest, value, *names)
 
 
-def with_min_ranks(df: DataFrame, ranks: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+def with_min_ranks(
+    df: DataFrame, ranks: Mapping[str, Mapping[str, Sequence[str]]], keep: Keep = checkpointed
+) -> DataFrame:
     """Add ranks from the highest value down; equal values share the smallest rank.
 
-    ``ranks`` maps a value to the names of its ranks and their groups: few groups, each with
-    any number of rows, at least one key that all ranks of a value have, and no missing keys or
-    values. A window over a whole group would put
-    it into one task. Here equal values of a group collapse to a count, the distinct values
-    are ordered within slices between their quantiles, and every row looks its rank up by value.
-    Only the totals of the slices, four thousand per group whatever the number of rows, meet in
-    one task. ``df`` is read once more per value, so it should be a stored table.
+    ``ranks`` maps a value to the names of its ranks and their groups: groups with any number of
+    rows, at least one key that all ranks of a value have, and no missing keys or values. A
+    window over a whole group would put it into one task. Here equal values of a group collapse
+    to a count, the distinct values are sorted into ranges of about ``ranges.RANGE_ROWS`` rows, and
+    every row looks its rank up by value. Only the totals of the ranges, a row for each range and
+    group, meet in one task. ``df`` is read once more per value, so it should be a stored table;
+    two steps per value are stored at once.
     """
     ranked = df
     for value, names in ranks.items():
-        found = _value_ranks(df, value, names)
+        found = _value_ranks(df, value, names, keep)
         keys = [c for c in found.columns if c not in names]
         ranked = ranked.join(found, keys)
     return ranked

@@ -10,13 +10,11 @@ from pyspark.sql import types as T
 
 from shelfscope.functions.numbers import ratio, rows
 from shelfscope.operators.grouping import fill_bands
-from shelfscope.operators.ordering import value_edges, value_slice
+from shelfscope.operators.ranges import Keep, in_ranges
+from shelfscope.sources.kept import checkpointed
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Slice of missing values, below every other.
-NO_SLICE = -1
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -32,25 +30,18 @@ def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def describe(
+    df: DataFrame, columns: Sequence[str] | None = None, keep: Keep = checkpointed
+) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per numeric column.
 
     Quartiles interpolate linearly; NaN counts as missing. ``df`` is read once: equal values
-    collapse to a count, and the distinct values are ordered within slices between their
-    quantiles, so no task holds all of them. The slices' totals, four thousand rows per column at
-    most, tell how many values lie below.
+    collapse to a count, and the distinct values are sorted into ranges, so no task holds all of
+    them; missing ones lie below all others. The ranges' totals, a row for each range of a column,
+    tell how many values lie below. Two steps are stored when this is called.
     """
-    counted = _counted(df, columns or numeric_columns(df))
-    # A row for each column.
-    edges = counted.groupBy("column_name").agg(value_edges(F.col("value")).alias("edges"))
-    counted = counted.join(F.broadcast(edges), "column_name").select(
-        "column_name",
-        "value",
-        "ct",
-        F.when(F.col("value").isNull(), NO_SLICE)
-        .otherwise(value_slice(F.col("value"), F.col("edges")))
-        .alias("slice"),
-    )
+    counted = keep(_counted(df, columns or numeric_columns(df)))
+    counted = in_ranges(counted, ["column_name", "value"], keep).withColumnRenamed("part", "slice")
     whole = Window.partitionBy("column_name")
     below = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (

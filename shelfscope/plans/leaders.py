@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfscope.functions.numbers import money_sum, rows
 from shelfscope.operators.grouping import group_present
 from shelfscope.operators.ordering import with_min_ranks
+from shelfscope.operators.ranges import Keep
+from shelfscope.sources.kept import checkpointed
 
 WEEK = "first_day_of_the_week"
 
@@ -47,7 +49,7 @@ def app_week_counts(final: DataFrame) -> DataFrame:
     )
 
 
-def app_week(counts: DataFrame) -> DataFrame:
+def app_week(counts: DataFrame, keep: Keep = checkpointed) -> DataFrame:
     """Apps by week with ranks in the week and in the category of the week.
 
     ``category_weekly_sales_rank`` ranks app rows, so it skips by the number of apps of a
@@ -66,6 +68,7 @@ def app_week(counts: DataFrame) -> DataFrame:
                 "app_weekly_transaction_ct_rank_category": category,
             },
         },
+        keep,
     )
     return ranked.join(_category_weeks(counts), category)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from shelfscope.operators import checks
 from shelfscope.operators.joins import row_counts
 from shelfscope.plans.facts import distinct_transactions
 from shelfscope.sources.files import Roles
+from shelfscope.sources.kept import Profile
 
 
 def duplicate_report(roles: Roles) -> DataFrame:
@@ -18,19 +21,18 @@ def duplicate_report(roles: Roles) -> DataFrame:
     )
 
 
-def null_report(roles: Roles, **derived: DataFrame) -> DataFrame:
-    """Missing values per column of every input and of derived tables."""
-    tables = {**roles.tables(), **derived}
-    return checks.labelled(
-        {name: checks.null_profile(df) for name, df in tables.items()}, "table_name"
-    )
+def null_report(roles: Roles, derived: Mapping[str, Profile] = {}) -> DataFrame:
+    """Missing values per column of every input, by a scan, and of derived tables, as their writes saw them."""
+    scanned = checks.labelled({n: checks.null_profile(df) for n, df in roles.tables().items()}, "table_name")
+    seen = checks.profile_rows(scanned.sparkSession, derived)
+    return scanned.unionByName(seen.select(*scanned.columns))
 
 
-def column_report(roles: Roles, **derived: DataFrame) -> DataFrame:
-    tables = {**roles.tables(), **derived}
-    return checks.labelled(
-        {name: checks.column_profile(df) for name, df in tables.items()}, "table_name"
-    )
+def column_report(roles: Roles, derived: Mapping[str, Profile] = {}) -> DataFrame:
+    """Types and present values, likewise."""
+    scanned = checks.labelled({n: checks.column_profile(df) for n, df in roles.tables().items()}, "table_name")
+    seen = checks.profile_rows(scanned.sparkSession, derived)
+    return scanned.unionByName(seen.select(*scanned.columns))
 
 
 def ambiguous_app_names(roles: Roles) -> DataFrame:

@@ -225,13 +225,13 @@ def performance_weekday_overall(final: DataFrame, daily: DataFrame) -> DataFrame
     joined = totals.join(distinct("acct_id", "purchased_acct_ct"), weekday).join(
         distinct("parent_app_content_id", "purchased_unique_app"), weekday
     )
-    return (
-        joined.withColumn(
-            "avg_daily_transaction_ct", ratio("total_transaction_ct", "active_days")
-        )
-        .withColumn("avg_daily_sales", ratio("total_sales", "active_days"))
-        .orderBy("transaction_weekday")
-    )
+    return daily_means(joined, "total_transaction_ct", "total_sales").orderBy("transaction_weekday")
+
+
+def daily_means(counted: DataFrame, transactions: str, sales: str) -> DataFrame:
+    """Purchases and sales per active day."""
+    averaged = counted.withColumn("avg_daily_transaction_ct", ratio(transactions, "active_days"))
+    return averaged.withColumn("avg_daily_sales", ratio(sales, "active_days"))
 
 
 def _weekly(final: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -241,11 +241,13 @@ def _weekly(final: DataFrame, keys: Sequence[str]) -> DataFrame:
         days_seen_in_week("transaction_dt").alias("active_days"),
         rows().alias("weekly_transaction_ct"),
     )
-    averaged = counted.withColumn(
-        "avg_daily_transaction_ct", ratio("weekly_transaction_ct", "active_days")
-    ).withColumn("avg_daily_sales", ratio("weekly_sales", "active_days"))
+    return weekly_changes(counted, keys)
+
+
+def weekly_changes(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Means per active day, and the change against the previous week, of a row per week and key."""
     before = with_previous(
-        averaged,
+        daily_means(counted, "weekly_transaction_ct", "weekly_sales"),
         keys,
         "first_day_of_the_week",
         {
@@ -338,18 +340,14 @@ def performance_month(final: DataFrame, exclude_days: Sequence = ()) -> DataFram
     kept = final
     for day in exclude_days:
         kept = kept.filter(~F.col("transaction_dt").eqNullSafe(_day(day)))
-    return (
-        group_present(kept, "transaction_year_month")
-        .agg(
-            money_sum().alias("monthly_sales"),
-            F.countDistinct("acct_id").alias("active_acct_ct"),
-            F.countDistinct("parent_app_content_id").alias("purchased_unique_app"),
-            days_seen_in_month("transaction_dt").alias("active_days"),
-            rows().alias("transaction_ct"),
-        )
-        .withColumn("avg_daily_transaction_ct", ratio("transaction_ct", "active_days"))
-        .withColumn("avg_daily_sales", ratio("monthly_sales", "active_days"))
+    counted = group_present(kept, "transaction_year_month").agg(
+        money_sum().alias("monthly_sales"),
+        F.countDistinct("acct_id").alias("active_acct_ct"),
+        F.countDistinct("parent_app_content_id").alias("purchased_unique_app"),
+        days_seen_in_month("transaction_dt").alias("active_days"),
+        rows().alias("transaction_ct"),
     )
+    return daily_means(counted, "transaction_ct", "monthly_sales")
 
 
 def count_share(final: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +18,14 @@ from shelfscope.plans import (
     leaders,
     pricing,
     quality,
+    rollups,
     segments,
     subscriptions,
     trends,
 )
 from shelfscope.schemas import TRANSACTION
 from shelfscope.sources.files import read_table, write_table
+from shelfscope.sources.kept import Profile
 
 Report = Callable[[Market], DataFrame]
 
@@ -68,6 +70,7 @@ def _fact_reports() -> dict[str, Report]:
         "app_dimension": lambda m: m.app_dimension,
         "transaction_fact": lambda m: m.transaction_fact,
         "final_fact": lambda m: m.final,
+        "final_by_account": lambda m: m.final_by_account,
         "resolution_report": lambda m: quality.resolution_report(m.resolved),
         "apps_without_content": lambda m: quality.apps_without_content(m.app_dimension),
     }
@@ -106,9 +109,9 @@ def _account_reports() -> dict[str, Report]:
         "txn_histogram_active": bars("total_txn", 40, False),
         "txn_histogram_low": bars("total_txn", 40, False, "zoom_transactions"),
         "txn_histogram_within": bars("total_txn", 30, False, "max_transactions"),
-        "transaction_statistics": lambda m: describe(m.resolved, ["price", "category_id"]),
-        "account_statistics": lambda m: describe(m.account_summary),
-        "final_statistics": lambda m: describe(m.final),
+        "transaction_statistics": lambda m: describe(m.resolved, ["price", "category_id"], m.step),
+        "account_statistics": lambda m: describe(m.account_summary, keep=m.step),
+        "final_statistics": lambda m: describe(m.final, keep=m.step),
         "trimmed_summary": trimmed(False),
         "trimmed_summary_active": trimmed(True),
         "tenure_by_payment": lambda m: accounts.tenure_counts(m.account_summary, "payment_type"),
@@ -127,12 +130,8 @@ def _account_reports() -> dict[str, Report]:
         "payment_paid_summary": lambda m: accounts.payment_summary(
             m.account_summary, "payment_type", "paid_acct_flag"
         ),
-        "week_account_activity": lambda m: accounts.week_account_activity(
-            m.final, m.roles.account, m.rules.last_week
-        ),
-        "week_paid_share": lambda m: accounts.paid_share(
-            accounts.week_account_activity(m.final, m.roles.account, m.rules.last_week)
-        ),
+        "week_account_activity": lambda m: m.week_activity,
+        "week_paid_share": lambda m: accounts.paid_share(m.week_activity),
     }
 
 
@@ -141,8 +140,28 @@ def _trend_reports() -> dict[str, Report]:
         keys = ["first_day_of_the_week", "category_name"]
         return last_rows(m.weekly_category, 15, [F.asc(k) for k in keys], [F.desc(k) for k in keys])
 
+    def daily_category(m: Market) -> DataFrame:
+        if m.keeps:
+            return trends.performance_daily(rollups.daily_category(m.rollups))
+        return trends.performance_daily_category(m.final)
+
+    def weekday_overall(m: Market) -> DataFrame:
+        if m.keeps:
+            return rollups.performance_weekday_overall(m.rollups)
+        return trends.performance_weekday_overall(m.final, m.daily)
+
+    def week(m: Market) -> DataFrame:
+        return rollups.performance_week(m.rollups) if m.keeps else trends.performance_week(m.final)
+
+    def months(m: Market, exclude_days: Sequence = ()) -> DataFrame:
+        if m.keeps:
+            return rollups.performance_month(m.rollups, exclude_days)
+        return trends.performance_month(m.final, exclude_days)
+
     return {
         "latest_category_weeks": latest,
+        "approximate_distinct": lambda m: rollups.distinct_check(m.rollups),
+        "price_quantiles": lambda m: rollups.quantile_check(m.rollups, m.final, keep=m.step),
         "txn_by_month": lambda m: trends.txn_by(m.final, "transaction_year_month"),
         "txn_by_price_band": lambda m: trends.txn_by(m.final, "price_band"),
         "txn_by_tenure": lambda m: trends.txn_by_tenure(m.final),
@@ -150,13 +169,13 @@ def _trend_reports() -> dict[str, Report]:
         "tenure_activity": lambda m: trends.tenure_activity(m.final),
         "txn_group_summary": lambda m: trends.txn_group_summary(m.final),
         "performance_daily": lambda m: trends.performance_daily(m.daily),
-        "performance_daily_category": lambda m: trends.performance_daily_category(m.final),
+        "performance_daily_category": daily_category,
         "day_app_leaders": lambda m: trends.day_app_leaders(m.final, m.rules.spike_day),
         "daily_app_performance": lambda m: trends.daily_app_performance(m.final),
         "day_movers_txn": lambda m: trends.day_movers(m.final, m.rules.spike_day, "txn"),
         "day_movers_revenue": lambda m: trends.day_movers(m.final, m.rules.spike_day, "revenue"),
-        "performance_weekday_overall": lambda m: trends.performance_weekday_overall(m.final, m.daily),
-        "performance_week": lambda m: trends.performance_week(m.final),
+        "performance_weekday_overall": weekday_overall,
+        "performance_week": week,
         "performance_week_category": lambda m: m.weekly_category,
         "week_category_pivot": lambda m: trends.week_category_pivot(
             m.weekly_category, [m.rules.short_week], m.categories
@@ -178,10 +197,8 @@ def _trend_reports() -> dict[str, Report]:
         "week_leaders": lambda m: leaders.week_leaders(m.app_week),
         "category_leaders": lambda m: leaders.category_leaders(m.app_week),
         "category_leaders_games": lambda m: leaders.category_leaders(m.app_week, category="Games"),
-        "performance_month": lambda m: trends.performance_month(m.final),
-        "performance_month_without_spike": lambda m: trends.performance_month(
-            m.final, [m.rules.spike_day]
-        ),
+        "performance_month": months,
+        "performance_month_without_spike": lambda m: months(m, [m.rules.spike_day]),
     }
 
 
@@ -208,6 +225,7 @@ def _segment_reports() -> dict[str, Report]:
         "price_days": lambda m: pricing.price_days(m.final),
         "regular_price": lambda m: m.regular_price,
         "priced_transactions": lambda m: pricing.priced_transactions(m.final, m.regular_price),
+        "priced_by_content": lambda m: m.priced_by_content,
         "promotions": lambda m: pricing.promotions(m.final, m.regular_price),
     }
 
@@ -255,15 +273,19 @@ def _subscription_reports() -> dict[str, Report]:
     }
 
 
+# Derived tables whose columns the quality reports list.
+PROFILED = ["app_dimension", "transaction_fact", "account_summary", "final", "week_activity"]
+
+
+def profiles(market: Market) -> dict[str, Profile]:
+    return {name: market.profile(name) for name in PROFILED}
+
+
 def _quality_reports() -> dict[str, Report]:
     return {
         "duplicate_report": lambda m: quality.duplicate_report(m.roles),
-        "null_report": lambda m: quality.null_report(
-            m.roles, app_dimension=m.app_dimension, transaction_fact=m.transaction_fact
-        ),
-        "column_report": lambda m: quality.column_report(
-            m.roles, app_dimension=m.app_dimension, transaction_fact=m.transaction_fact
-        ),
+        "null_report": lambda m: quality.null_report(m.roles, profiles(m)),
+        "column_report": lambda m: quality.column_report(m.roles, profiles(m)),
         "ambiguous_app_names": lambda m: quality.ambiguous_app_names(m.roles),
         "transaction_period": lambda m: quality.transaction_period(m.roles),
         "device_names": lambda m: distinct_values(m.roles.device, "device_name"),
