@@ -4,10 +4,13 @@ A line goes down a tree of fixed depth: its number of tokens, then its ``leading
 where a token with a digit counts as a variable field. In a leaf, a token stays part of the
 template if enough documents have it at that place, and else becomes a variable field too. A
 template that recurs in ``min_docs`` documents is dropped wherever it stands, whatever its share of
-a document. Near copies count as one document, so that copies alone make no line recur.
+a document. Exact copies (of all words) count as one document, so that they alone make no line recur; a
+caller who has classes of near copies may hand them in, and then each class counts as one.
 
 Only counts are gathered: of documents for each leaf and each form of a line (its tokens with the
-variable fields), then of tokens by place for leaves that recur. No leaf is ever held together.
+variable fields), then of tokens by place for leaves that recur. No leaf is ever held together. Texts go
+by a hash, as equal texts lose the same lines: rows need no id of a certain type, and two texts of one
+hash would only be asked for each other's lines.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscope.llm.near_dedup import near_duplicates
 from shelfscope.llm.shared import chunks, kept
 from shelfscope.llm.words import M1, M3, hashes, mix, spans
 
@@ -50,6 +53,7 @@ class Lines:
         self.rows = len(texts)
         digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
         tokens = hashes(data, token_starts, token_ends)
+        self.words, self.first_word = tokens.copy(), np.searchsorted(token_starts, borders)
         tokens[digits[token_ends] > digits[token_starts]] = FIELD
         self.tokens, self.first, self.counts = tokens, first[:-1], np.diff(first)
         size = self.counts.astype(np.uint64)
@@ -65,6 +69,12 @@ class Lines:
             live = live[self.counts[live] > step]
         self.row = self.row_of_all
 
+    def copies(self) -> pa.Array:
+        """A hash of all words of each row."""
+        ends = zip(self.first_word, self.first_word[1:])
+        found = [xxhash.xxh3_64_intdigest(self.words[a:b].tobytes()) for a, b in ends]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
+
     def lists(self, values: np.ndarray, of: np.ndarray) -> pa.Array:
         """A list per row of the values of the lines ``of``."""
         ends = np.searchsorted(self.row[of], np.arange(self.rows + 1))
@@ -78,46 +88,42 @@ def parts(batches: Iterator[pa.RecordBatch], leading: int) -> Iterator[tuple[pa.
 
 
 def documents_of(lines: DataFrame, *keys: str) -> DataFrame:
-    """Number of classes of documents, and the first document, of each key."""
-    classes = lines.groupBy(*keys, "class").agg(F.min("id").alias("first"))
+    """Number of classes of documents, and the least text, of each key."""
+    classes = lines.groupBy(*keys, "class").agg(F.min("key").alias("first"))
     return classes.groupBy(*keys).agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
 def templates(
-    rows: DataFrame, leading: int, min_docs: int, least_tokens: int, constant: float, similarity: float
+    texts: DataFrame, leading: int, min_docs: int, least_tokens: int, constant: float, classes: DataFrame | None
 ) -> DataFrame:
-    """Forms of lines whose template recurs, and the forms' ids by document: (id, forms)."""
+    """The forms of lines that recur, by text: (key, forms). ``texts`` has key and text."""
 
     def marks(batches):
         for part, lines in parts(batches, leading):
             of = np.flatnonzero(lines.has)
             yield pa.record_batch(
                 [
-                    part.column("id"),
+                    part.column("key"),
+                    lines.copies(),
                     lines.lists(lines.leaf[of].view(np.int64), of),
                     lines.lists(lines.form[of].view(np.int64), of),
                 ],
-                ["id", "leaves", "forms"],
+                ["key", "class", "leaves", "forms"],
             )
 
-    schema = "id long, leaves array<long>, forms array<long>"
-    marked = kept(rows.where("id IS NOT NULL").mapInArrow(marks, schema), "lines")
-    lines = marked.select("id", F.explode(F.arrays_zip("leaves", "forms")).alias("x")).select(
-        "id", F.col("x.leaves").alias("leaf"), F.col("x.forms").alias("form")
+    schema = "key long, class long, leaves array<long>, forms array<long>"
+    marked = kept(texts.mapInArrow(marks, schema), "lines")
+    lines = marked.select("key", "class", F.explode(F.arrays_zip("leaves", "forms")).alias("x")).select(
+        "key", "class", F.col("x.leaves").alias("leaf"), F.col("x.forms").alias("form")
     )
-    # Leaves of enough documents, whose documents are then counted once for each class of copies.
-    by_leaf = documents_of(lines.withColumn("class", F.col("id")), "leaf")
-    leaves = kept(by_leaf.where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    inside = kept(lines.join(leaves, "leaf"), "inside")
-    # Sorted on both sides, at any size: the plan and its cost for each row stay the same.
-    sharing = kept(inside.select("id").distinct(), "sharing")
-    rows = kept(rows.join(sharing.hint("merge"), "id", "left_semi"), "texts")
-    classes = near_duplicates(rows, similarity, id_col="id").select("doc_id", "class_id").distinct()
-    classes = kept(classes.toDF("id", "class"), "classes")
-    inside = kept(inside.join(classes, "id"), "inside")
+    leaves = kept(documents_of(lines, "leaf").where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    inside = lines.join(leaves, "leaf")
+    if classes is not None:
+        inside = inside.drop("class").join(classes, "key")
+    inside = kept(inside, "inside")
     # Each form with its classes.
     forms = kept(documents_of(inside, "leaf", "form"), "forms")
-    wanted = forms.groupBy(F.col("first").alias("id")).agg(F.collect_set("form").alias("wanted"))
+    wanted = kept(forms.groupBy(F.col("first").alias("key")).agg(F.collect_set("form").alias("wanted")), "wanted")
 
     def fetch(batches):
         for part, lines in parts(batches, leading):
@@ -134,7 +140,8 @@ def templates(
             )
             yield pa.record_batch([pa.array(lines.form[of].view(np.int64)), tokens], ["form", "tokens"])
 
-    fetched = rows.join(wanted.hint("merge"), "id").mapInArrow(fetch, "form long, tokens array<long>")
+    # Sorted on both sides, at any size: the plan and its cost for each row stay the same.
+    fetched = texts.join(wanted.hint("merge"), "key").mapInArrow(fetch, "form long, tokens array<long>")
     fetched = fetched.dropDuplicates(["form"]).join(forms, "form")
     placed = kept(
         fetched.where(F.size("tokens") >= least_tokens).select(
@@ -163,14 +170,13 @@ def templates(
         "form", F.coalesce("template", "form").alias("template")
     )
     named = kept(named, "templates")
-    by_template = documents_of(inside.select("id", "class", "form").join(named, "form"), "template")
+    by_template = documents_of(inside.select("key", "class", "form").join(named, "form"), "template")
     dropped = kept(
         named.join(by_template.where(F.col("n") >= min_docs).select("template"), "template").select("form"),
         "dropped",
     )
-    return lines.select("id", "form").join(dropped, "form").groupBy("id").agg(
-        F.collect_set("form").alias("forms")
-    )
+    found = lines.select("key", "form").join(dropped, "form").groupBy("key")
+    return kept(found.agg(F.collect_set("form").alias("forms")), "found")
 
 
 def drop_lines(
@@ -179,7 +185,7 @@ def drop_lines(
     min_docs: int = 4,
     least_tokens: int = 4,
     constant: float = 0.6,
-    similarity: float = 0.8,
+    classes: DataFrame | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -189,16 +195,23 @@ def drop_lines(
     A line of fewer than ``least_tokens`` tokens, or whose template would keep less than the share
     ``constant`` of them, recurs only as it is (but for its fields with digits). Lines end at
     line feeds; those without a token stay. A document counts once for a line however often it has
-    it, and so do all documents of a class of near copies (an overlap of ``similarity``, as
-    ``near_duplicates`` links them, among the documents whose lines share a leaf with others); rows
-    with equal ids count as one document. Recurring lines go from every document that has them, so
-    a document of nothing else becomes empty. Rows without id stay as they are, and count for none.
-    A null text stays null.
+    it, and so do all documents of equal words, repeated rows among them. Recurring lines go from every
+    document that has them, so a document of nothing else becomes empty. ``classes`` (doc_id, class_id), as
+    ``near_duplicates`` gives them, makes all documents of a class count once; near copies that it
+    does not join count each, and lose the lines that enough of them share. A document without a class
+    counts for none. Ids may be of any type, null or repeated: without ``classes`` they play no part. A null
+    text stays null. Tables are written when this is called.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
     rest = F.struct(F.lit(0).alias("_"), *[docs[c] for c in others])
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), rest.alias("rest"))
-    found = templates(rows.select("id", "text"), leading, min_docs, least_tokens, constant, similarity)
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    if classes is not None:
+        named = classes.select(F.col("doc_id").alias("id"), F.xxhash64("class_id").alias("class"))
+        by_text = rows.select("id", "key").join(named, "id").groupBy("key").agg(F.min("class").alias("class"))
+        classes = kept(by_text, "classes")
+    texts = rows.where("text IS NOT NULL").select("key", "text")
+    found = templates(texts, leading, min_docs, least_tokens, constant, classes)
 
     def cut(batches):
         for part, lines in parts(batches, leading):
@@ -227,8 +240,8 @@ def drop_lines(
             )
 
     counts = T.StructType().add("n_lines", "long").add("n_dropped", "long")
-    schema = T.StructType([*rows.schema.fields, *counts.fields])
-    joined = rows.join(found.hint("merge"), "id", "left")
+    schema = T.StructType([*rows.drop("key").schema.fields, *counts.fields])
+    joined = rows.join(found.hint("merge"), "key", "left")
     cleaned = joined.select("id", "text", "rest", "forms").mapInArrow(cut, schema)
     own = {id_col: F.col("id"), text_col: F.col("text")}
     columns = [own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns if c not in counts.names]

@@ -1,23 +1,26 @@
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from samples import edited, words
-from shelfscope.llm import decontaminate, line_crf, line_templates, quality_rules, substrings, toxicity
+from shelfscope.llm import decontaminate, line_crf, line_templates, near_dedup, quality_rules, substrings, toxicity
+from pyspark.sql import functions as F
 from shelfscope.llm.words import words_of
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 def frame(spark, docs):
     return spark.createDataFrame(docs, "doc_id long, text string")
 
 
 def test_words_are_runs_of_other_characters():
-    import re
-
     texts = ["a b  c\n", None, "", " x", "l" * 50 + " " + "l" * 51 + "\t" + "l" * 50, "é　ü\té\x0b."]
     found = words_of(pa.array(texts))
-    want = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    want = [WORD.findall(t or "") for t in texts]
     spelled = [found.data[a:b].tobytes().decode() for a, b in zip(found.starts, found.ends)]
     assert found.counts.tolist() == [len(w) for w in want]
     assert spelled == [w for ws in want for w in ws]
@@ -72,13 +75,16 @@ def test_recurring_templates_are_dropped(spark):
         assert (found[k].n_dropped, found[k].text) == (0, dict(docs)[k])
 
 
-def test_templates_go_from_documents_of_little_else_but_not_from_copies(spark):
+def test_templates_go_from_documents_of_little_else_but_not_from_classes_of_copies(spark):
     notices = [f"Notice {k}: " + words(9, 6000 + k) for k in range(3)]
     docs = [(k, "\n".join([notices[k % 3], notices[(k + 1) % 3], *[words(15, 100 * k + j) for j in range(6)]])) for k in range(9)]
     docs += [(9, "\n".join([*notices, words(6, 1)])), (10, "\n".join([notices[0], notices[2]]))]
     body = [words(16, 7000 + j) for j in range(30)]
     docs += [(20 + k, "\n".join([*body[:k], words(16, 8000 + k), *body[k + 1 :]])) for k in range(6)]  # near copies
-    found = {r.doc_id: r for r in line_templates.drop_lines(frame(spark, docs)).collect()}
+    classes = near_dedup.near_duplicates(frame(spark, docs[11:]))
+    singles = frame(spark, docs[:11]).selectExpr("doc_id", "doc_id AS class_id")
+    classes = classes.select("doc_id", "class_id").union(singles)
+    found = {r.doc_id: r for r in line_templates.drop_lines(frame(spark, docs), classes=classes).collect()}
     for k in range(9):
         assert (found[k].n_dropped, found[k].text) == (2, "\n".join(dict(docs)[k].split("\n")[2:]))
     assert (found[9].n_dropped, found[9].text) == (3, words(6, 1))
@@ -87,6 +93,67 @@ def test_templates_go_from_documents_of_little_else_but_not_from_copies(spark):
         assert (found[k].n_dropped, found[k].text) == (0, dict(docs)[k])
 
 
+def test_pages_of_mostly_boilerplate_lose_it(spark):
+    """Such pages are near copies of each other, and still their notices recur."""
+    notices = [words(12, 400 + k) for k in range(6)]
+    docs = [(k, "\n".join([*notices[:3], words(5 if k < 40 else 40, 900 + k), *notices[3:]])) for k in range(80)]
+    docs += [(100 + k, docs[0][1]) for k in range(5)]
+    found = line_templates.drop_lines(frame(spark, docs)).collect()
+    own = {k: text.split("\n")[3] for k, text in docs}
+    assert {(r.doc_id, r.text, r.n_dropped) for r in found} == {(k, own[k], 6) for k in own}
+
+
+def slow_lines(docs, min_docs=4, least_tokens=4, constant=0.6, leading=3):
+    """The rule for single lines in plain Python: what stays of each text."""
+    def form(line):
+        return tuple(None if any(c in "0123456789" for c in t) else t for t in WORD.findall(line))
+
+    classes = {}  # a class of documents of equal words has one number
+    members = {tuple(WORD.findall(t)): n for n, t in enumerate(t for _, t in docs if t is not None)}
+    for _, text in docs:
+        for line in (text or "").split("\n"):
+            if form(line):
+                classes.setdefault(form(line), set()).add(members[tuple(WORD.findall(text))])
+    leaves = {}
+    for f, who in classes.items():
+        leaves.setdefault((len(f), f[:leading]), {})[f] = who
+    templates = {}
+    for (size, _), forms in leaves.items():
+        if len(set().union(*forms.values())) < min_docs:
+            continue
+        seen = Counter()
+        for f, who in forms.items():
+            if size >= least_tokens:
+                seen.update({(place, t): len(who) for place, t in enumerate(f)})
+        for f, who in forms.items():
+            stays = tuple((i, t) for i, t in enumerate(f) if t is not None and seen[i, t] >= min_docs)
+            general = size >= least_tokens and len(stays) >= constant * size
+            templates.setdefault(((size, f[:leading]), stays) if general else f, []).append((f, who))
+    dropped = {f for t in templates.values() if len(set().union(*(w for _, w in t))) >= min_docs for f, _ in t}
+    return [
+        (i, t if t is None else "\n".join(line for line in t.split("\n") if not form(line) or form(line) not in dropped))
+        for i, t in docs
+    ]
+
+
+def test_line_templates_equal_brute_force(spark, small):
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    want = slow_lines(docs)
+    found = line_templates.drop_lines(frame(spark, docs)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert sum(a != b for (_, a), (_, b) in zip(docs, want)) > 20
+
+
+def test_line_templates_of_ids_of_any_type(spark):
+    docs = [(k, f"{words(9, 77)}\n{words(9, k)}") for k in range(6)] + [(None, words(9, 77)), (3, words(9, 77))]
+    for kind in ("int", "string", "long"):
+        df = frame(spark, docs).withColumn("doc_id", F.col("doc_id").cast(kind))
+        found = [tuple(r) for r in line_templates.drop_lines(df).select("doc_id", "text").collect()]
+        want = [(k, words(9, k)) for k in range(6)] + [(None, ""), (3, "")]
+        as_id = str if kind == "string" else int
+        assert sorted(found, key=str) == sorted([(k if k is None else as_id(k), t) for k, t in want], key=str)
+
+
 def test_other_columns_stay(spark):
     docs = frame(spark, [(1, "a b c d e"), (2, "f g h i j")]).selectExpr("'x' AS forms", "doc_id", "text", "doc_id AS id")
     found = line_templates.drop_lines(docs)
