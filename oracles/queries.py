@@ -503,6 +503,19 @@ FACT_QUERIES = {
     "app_dimension": "SELECT * FROM app_df",
     "transaction_fact": "SELECT * FROM txn_fact",
     "final_fact": "SELECT * FROM final",
+    "distinct_by_day": "SELECT * FROM dedup",
+    "week_top_sales": f"""SELECT *, CAST(rank() OVER (PARTITION BY first_day_of_the_week, category_name
+        ORDER BY app_weekly_sales DESC) AS INTEGER) AS sales_rank
+      FROM (SELECT first_day_of_the_week, app_name, category_name, {SUM} AS app_weekly_sales,
+        COUNT(DISTINCT acct_id) AS app_active_acct_ct, COUNT(*) AS app_weekly_transaction_ct
+        FROM final WHERE app_name IS NOT NULL AND category_name IS NOT NULL
+          AND first_day_of_the_week IS NOT NULL GROUP BY ALL) QUALIFY sales_rank <= 5""",
+    "day_top_apps": f"""SELECT *, CAST(rank() OVER (PARTITION BY transaction_dt
+        ORDER BY revenue_by_app DESC) AS INTEGER) AS revenue_rank
+      FROM (SELECT transaction_dt, parent_app_content_id, app_name, {SUM} AS revenue_by_app,
+        COUNT(*) AS txn_by_app FROM final WHERE transaction_dt IS NOT NULL
+          AND parent_app_content_id IS NOT NULL AND app_name IS NOT NULL GROUP BY ALL)
+      QUALIFY revenue_rank <= 3""",
     "final_by_account": "SELECT * FROM final",
     "revenue_by_account_category": "SELECT * FROM per_category",
     "account_summary": "SELECT * FROM account_summary",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.text import column_name
 from shelfscope.plans import accounts, facts, leaders, pricing, rollups, subscriptions, trends
 from shelfscope.rules import Rules
+from shelfscope.sources.day_tables import DayTable
 from shelfscope.sources.files import Roles
 from shelfscope.sources.kept import (
     KeptTables,
@@ -127,6 +129,14 @@ class Market:
             ),
         )
 
+    def distinct_by_day(self, *loads: DataFrame) -> DataFrame:
+        """Distinct purchases, taken in by parts that may come late and repeat what is there."""
+        schema = facts.distinct_transactions(self.roles.transaction).schema
+        grown = DayTable(self._spark, f"{self.folder}/distinct-{uuid.uuid4().hex}", schema, "transaction_dt", self.step)
+        for load in loads:
+            grown.load(facts.named_transactions(load))
+        return grown.table
+
     @property
     def transaction_fact(self) -> DataFrame:
         return facts.transaction_fact(self.resolved, self.roles.account)

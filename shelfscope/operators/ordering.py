@@ -80,6 +80,18 @@ def with_min_ranks(
     return ranked
 
 
+def top_per_group(df: DataFrame, k: int, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rows among the ``k`` highest values of their group, ties included, with their rank.
+
+    Each partition keeps its own best rows of each group and drops the rest before anything is
+    shuffled (the plan has ``WindowGroupLimit``), so no group is ever ranked, or met, as a whole.
+    Missing values are not ranked.
+    """
+    best_first = Window.partitionBy(*keys).orderBy(F.desc(value))
+    ranked = df.filter(F.col(value).isNotNull()).withColumn(name, F.rank().over(best_first))
+    return ranked.filter(F.col(name) <= k)
+
+
 def top_rows(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

@@ -26,15 +26,19 @@ APP_COLUMNS = [
 ]
 
 
-def distinct_transactions(transaction: DataFrame) -> DataFrame:
-    """Purchases without exact copies."""
+def named_transactions(transaction: DataFrame) -> DataFrame:
     return transaction.withColumnsRenamed(
         {
             "create_dt": "transaction_dt",
             "content_id": "transaction_content_id",
             "device_id": "transaction_device_id",
         }
-    ).dropDuplicates()
+    )
+
+
+def distinct_transactions(transaction: DataFrame) -> DataFrame:
+    """Purchases without exact copies."""
+    return named_transactions(transaction).dropDuplicates()
 
 
 def account_dimension(account: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.numbers import money_sum, rows
 from shelfscope.operators.grouping import group_present
-from shelfscope.operators.ordering import with_min_ranks
+from shelfscope.operators.ordering import top_per_group, with_min_ranks
 from shelfscope.operators.ranges import Keep
 from shelfscope.sources.kept import checkpointed
 
@@ -101,3 +101,20 @@ def category_leaders(ranked: DataFrame, k: int = 5, category: str | None = None)
     return best.orderBy(
         "category_weekly_sales_rank", "app_weekly_sales_rank_category", "app_name"
     )
+
+
+def week_top_sales(counts: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` best apps by sales of each week and category, ties included, from ``app_week_counts``."""
+    return top_per_group(counts, k, [WEEK, "category_name"], "app_weekly_sales", "sales_rank")
+
+
+def day_top_apps(final: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` apps of highest revenue of each day, ties included.
+
+    A day with a third of all purchases is aggregated by app like any other, and only its best apps
+    of each partition meet.
+    """
+    counted = group_present(final, "transaction_dt", "parent_app_content_id", "app_name").agg(
+        money_sum().alias("revenue_by_app"), rows().alias("txn_by_app")
+    )
+    return top_per_group(counted, k, ["transaction_dt"], "revenue_by_app", "revenue_rank")

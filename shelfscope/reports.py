@@ -66,7 +66,13 @@ def round_trip(market: Market, df: DataFrame, fmt: str) -> DataFrame:
 
 
 def _fact_reports() -> dict[str, Report]:
+    def by_day(m: Market) -> DataFrame:
+        """Taken in twice: what came before a day, and then all rows, late ones and copies with it."""
+        sold = m.roles.transaction
+        return m.distinct_by_day(sold.where(F.col("create_dt") < F.lit(m.rules.last_week)), sold)
+
     return {
+        "distinct_by_day": by_day,
         "app_dimension": lambda m: m.app_dimension,
         "transaction_fact": lambda m: m.transaction_fact,
         "final_fact": lambda m: m.final,
@@ -194,6 +200,8 @@ def _trend_reports() -> dict[str, Report]:
             ["wow_sales_increase_rate", "wow_transaction_ct_increase_rate", "wow_active_acct_ct"],
         ),
         "app_week": lambda m: m.app_week,
+        "week_top_sales": lambda m: leaders.week_top_sales(m.app_week_counts),
+        "day_top_apps": lambda m: leaders.day_top_apps(m.final),
         "week_leaders": lambda m: leaders.week_leaders(m.app_week),
         "category_leaders": lambda m: leaders.category_leaders(m.app_week),
         "category_leaders_games": lambda m: leaders.category_leaders(m.app_week, category="Games"),

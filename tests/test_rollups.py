@@ -13,6 +13,7 @@ from shelfscope import Market, roles_from_star
 from shelfscope.operators import bitmaps, checks, ordering, profile, ranges, sketches
 from shelfscope.plans import rollups, trends
 from shelfscope.reports import PROFILED, reports
+from shelfscope.sources.day_tables import DayTable
 from shelfscope.sources.kept import KeptTables, buckets_for, checkpointed, exists
 
 KINDS = (
@@ -270,3 +271,32 @@ def test_hot_keys_are_not_bucketed():
 
 def test_sketches_state_their_error():
     assert sketches.DISTINCT_ERROR == pytest.approx(0.01625)
+
+
+def test_late_copies_change_nothing(spark, sold, folder):
+    """A day comes in parts, and a late part repeats rows that are there."""
+    kinds = sold.schema
+    grown = DayTable(spark, f"{folder}/distinct", kinds, "transaction_dt")
+    assert grown.table.count() == 0
+    early, late = sold.where("acct_id < 'u5' OR acct_id IS NULL"), sold.where("acct_id >= 'u3'")
+    grown.load(early)
+    before = {f for f in grown.table.inputFiles() if "2016-06-28" in f}
+    grown.load(late.where(F.col("transaction_dt") > "2016-06-28"))
+    assert before == {f for f in grown.table.inputFiles() if "2016-06-28" in f}  # no other day is written
+    grown.load(late.unionByName(late))
+    grown.load(sold.where("transaction_dt IS NULL"))
+    assert rows(grown.table.select(*kinds.names)) == rows(sold.distinct())
+
+
+def test_best_rows_are_kept_before_the_shuffle(spark):
+    rng = random.Random(4)
+    data = [("hot" if i % 3 else f"g{i % 7}", rng.randrange(40) if i % 11 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(4)
+    found = ordering.top_per_group(df, 5, ["g"], "v", "place")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    want = set()
+    for group in {g for g, _, _ in data}:
+        own = [(v, i) for g, v, i in data if g == group and v is not None]
+        want |= {(group, v, i, 1 + sum(o > v for o, _ in own)) for v, i in own if sum(o > v for o, _ in own) < 5}
+    assert {tuple(r) for r in found.collect()} == want
