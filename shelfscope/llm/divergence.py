@@ -19,7 +19,7 @@ from shelfscope.llm.shared import chunks, kept
 from shelfscope.llm.words import buffers
 
 UNIT = 1_000_000_000  # what all terms of a group weigh together
-BLOCK_BITS = 14  # a block has up to 16,384 term ids
+BLOCK_TERMS = 16_384  # in a block, on average
 TILE = 32  # sources in a tile, on average
 
 LETTER = np.zeros(256, bool)
@@ -194,7 +194,6 @@ def audit(
     count each; ids play no part. A group without terms has pairs, and no term. Other columns are left
     out. Tables are written when this is called.
     """
-    spark = docs.sparkSession
     empty = F.lit("")
     rows = docs.select(
         F.coalesce(F.col(text_col), empty).alias("text"),
@@ -207,9 +206,12 @@ def audit(
     terms = terms.where(F.col("docs") >= least_docs).drop("docs").sortWithinPartitions("lang", "term")
     # Written with its number, so the number stays.
     terms = kept(terms.withColumn("id", F.monotonically_increasing_id()), "terms")
+    langs = kept(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")), "langs")
+    # As many blocks as a language's terms ask for, however they are partitioned.
+    block = F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / BLOCK_TERMS)).alias("block")
+    terms = terms.join(langs, "lang").select("lang", "term", "lang_n", "id", block)
     held = kept(present.drop("docs").join(terms, ["lang", "term"]), "held")
 
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     own = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.where("term IS NULL").select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.na.fill(0, ["total", "v", "lang_total"])
@@ -230,8 +232,7 @@ def audit(
     over = (F.col("p") - F.col("q")) * (F.col("p") - F.col("q"))
     high = priced.where("p > q").select("lang", "source", "item", F.call_function("div", over, F.col("q")).alias("value"))
 
-    block = F.shiftright("id", BLOCK_BITS).alias("block")
-    blocks = terms.groupBy("lang", block).agg(F.count("*").alias("size"))
+    blocks = terms.groupBy("lang", "block").agg(F.count("*").alias("size"))
     # One more block without terms, so that every pair is priced if a language keeps none.
     blocks = blocks.union(groups.select("lang", F.lit(-1).cast("long"), F.lit(0).cast("long")).distinct())
     blocks = kept(blocks, "blocks")
@@ -239,7 +240,7 @@ def audit(
     tiled = groups.join(tiles, "lang").select(
         "lang", "source", "total", "tiles", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int").alias("tile")
     )
-    arrays = held.groupBy("lang", "source", block).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))
+    arrays = held.groupBy("lang", "source", "block").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))
     arrays = arrays.select("lang", "source", "block", F.col("x.id").alias("ids"), F.col("x.n").alias("counts"))
     cells = tiled.join(blocks, "lang").join(arrays, ["lang", "source", "block"], "left")
     cells = kept(cells, "cells")
