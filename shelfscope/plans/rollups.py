@@ -184,10 +184,10 @@ class Rollups:
             F.countDistinct(DAY).alias("active_days"),
         )
         seen = calendar(self.members).where(chosen).dropna(subset=list(keys))
-        for name, column in members.items():
-            count = member_count(seen.where(F.col("member") == column), *keys, name=name)
-            sums = sums.join(count, list(keys), "left").na.fill(0, [name])
-        return sums
+        found = F.col("member")
+        each = member_count(seen.where(found.isin([*members.values()])), *keys, "member", name="ct")
+        counts = [F.coalesce(F.sum(F.when(found == c, F.col("ct"))), F.lit(0)).alias(n) for n, c in members.items()]
+        return sums.join(each.groupBy(*keys).agg(*counts), list(keys), "left").na.fill(0, [*members])
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -253,22 +253,24 @@ def distinct_by_period(rollups: Rollups, kinds: Sequence[str] = KINDS) -> DataFr
     Only sketches are merged for the estimates, a few kilobytes for each day and category whatever the
     number of accounts.
     """
-    parts = []
-    for kind in kinds:
-        merged = rollups.days.groupBy(period(kind)).agg(
-            sketches.merged_distinct("acct_sketch").alias("acct"), sketches.merged_distinct("app_sketch").alias("app")
-        )
-        for what, column in (("acct", ACCOUNT), ("app", APP)):
-            own = rollups.members.where(F.col("member") == column).withColumn("period", period(kind))
-            merged = merged.join(member_count(own, "period", name=f"{what}_ct"), "period", "left")
-            estimate = sketches.distinct_estimate(what)
-            low, high = sketches.distinct_bounds(estimate)
-            merged = merged.withColumns({f"{what}_estimate": estimate, f"{what}_low": low, f"{what}_high": high})
-        parts.append(merged.na.fill(0, ["acct_ct", "app_ct"]).drop("acct", "app").withColumn("period_kind", F.lit(kind)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    keys = ["period_kind", "period"]
+
+    def by_period(df: DataFrame) -> DataFrame:
+        """Each row once for every kind of period."""
+        named = [F.struct(F.lit(kind).alias(keys[0]), period(kind)) for kind in kinds]
+        return df.select("*", F.inline(F.array(*named)))
+
+    columns = {"acct": ACCOUNT, "app": APP}
+    merged = by_period(rollups.days).groupBy(*keys).agg(
+        *[sketches.distinct_estimate(sketches.merged_distinct(f"{c}_sketch")).alias(f"{c}_estimate") for c in columns]
+    )
+    each = member_count(by_period(rollups.members), *keys, "member", name="ct")
+    counts = [F.sum(F.when(F.col("member") == column, F.col("ct"))).alias(f"{c}_ct") for c, column in columns.items()]
+    found = merged.join(each.groupBy(*keys).agg(*counts), keys, "left").na.fill(0, [f"{c}_ct" for c in columns])
+    for c in columns:
+        low, high = sketches.distinct_bounds(F.col(f"{c}_estimate"))
+        found = found.withColumns({f"{c}_low": low, f"{c}_high": high})
+    return found
 
 
 def distinct_check(rollups: Rollups) -> DataFrame:
