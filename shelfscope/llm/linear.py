@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.llm.shared import kept
+
 
 def in_training(id_column: Column) -> Column:
     """Rows to learn from: those whose id's CRC-32 leaves a remainder modulo five."""
@@ -21,6 +26,27 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def sampled(rows: DataFrame, labels: DataFrame, columns: Sequence[str], most: int, most_bytes: int) -> pa.Table:
+    """Texts (text) and labels to learn from, on the driver, in the order of the ids' hashes.
+
+    ``rows`` has id and text, ``labels`` has id and ``columns``. Ids with a null label, or with labels that
+    contradict each other, are left out; of several texts of an id, the one of least hash is taken. The
+    sample has about ``most`` texts at most, and about ``most_bytes`` of them, none longer than that.
+    """
+    same = [F.min(c) == F.max(c) for c in columns]
+    known = labels.dropna().groupBy("id").agg(*[F.min(c).alias(c) for c in columns], F.array(*same).alias("same"))
+    known = known.where(F.forall("same", lambda x: x)).drop("same")
+    learn = bounded(known.where(in_training(F.col("id"))), most)
+    fitting = rows.join(F.broadcast(learn), "id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    one = fitting.groupBy("id", *columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = kept(one, "sample")
+    total = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > most_bytes:
+        one = one.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) < int(most_bytes / total * (1 << 30)))
+    found = one.select("text", *columns, F.xxhash64("id").alias("order")).toArrow().sort_by("order")
+    return found.drop_columns(["order"]).combine_chunks()
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

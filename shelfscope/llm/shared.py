@@ -10,15 +10,29 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.sources.kept import shared_folder
+from shelfscope.sources.kept import delete_folder, shared_folder
 
 #: Bytes of text that a task holds as arrays at once; a longer single text is taken alone.
 CHUNK_BYTES = 8 << 20
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder of ``spark.checkpoint.dir``, or of the warehouse if unset."""
-    return f"{shared_folder(spark)}/shelfscope-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/shelfscope-llm/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote in folders of their own.
+
+    DataFrames that they returned may read from there, so this comes when the results are in place.
+    """
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete_folder(spark, path)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -38,14 +52,19 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of consecutive rows whose ``column`` has about ``limit`` bytes."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    first, total = 0, 0
-    for row, length in enumerate(lengths):
-        if total and total + length > limit:
+def chunks(
+    batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, most_lines: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Slices of consecutive rows whose ``column`` has about ``limit`` bytes, and ``most_lines`` line feeds."""
+    texts = batch.column(column)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    breaks = pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy() if most_lines else lengths * 0
+    first, total, lines = 0, 0, 0
+    for row, (length, n) in enumerate(zip(lengths, breaks)):
+        if row > first and (total and total + length > limit or most_lines and lines + n > most_lines):
             yield batch.slice(first, row - first)
-            first, total = row, 0
+            first, total, lines = row, 0, 0
         total += int(length)
+        lines += int(n) + 1
     if first < batch.num_rows:
         yield batch.slice(first)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.linear import bounded, fit_logistic, in_training, predict
+from shelfscope.llm.linear import fit_logistic, predict, sampled
 from shelfscope.llm.shared import chunks, only
 from shelfscope.llm.words import words_of
 
@@ -117,23 +117,21 @@ def classify(
     labels: DataFrame,
     categories: Sequence[str],
     sample: int = 12_000,
+    sample_bytes: int = 64 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, p_<category> (six places) and is_<category> for each category of the chain.
 
     ``labels`` has the id and a column of 0 or 1 for each category; rows with a null there are not
-    learned from. The chain is fitted on the driver on about ``sample`` labelled documents at most,
-    chosen by a hash of the id among those whose id's CRC-32 has a remainder modulo five; every row
+    learned from, nor ids with contradicting ones. The chain is fitted on the driver on about ``sample``
+    labelled documents and ``sample_bytes`` at most, one text of an id, chosen by a hash of the id among those whose id's CRC-32 has a remainder modulo five; every row
     is classified. Null and empty texts get what the models say of no words. A category without
     both kinds of labels gets the probability of its only kind; with no labels at all it is 0.
     """
     rows = only(docs, id=id_col, text=text_col)
-    known = labels.select(F.col(id_col).alias("id"), *categories).dropna().dropDuplicates(["id"])
-    learn = bounded(known.where(in_training(F.col("id"))), sample)
-    # The sample is bounded, whatever the corpus.
-    pulled = rows.join(F.broadcast(learn), "id").select("text", *categories, F.xxhash64("id").alias("order"))
-    found = pulled.toArrow().sort_by("order")
+    known = labels.select(F.col(id_col).alias("id"), *categories)
+    found = sampled(rows, known, categories, sample, sample_bytes)
     texts = found.column("text").combine_chunks().cast(pa.string())
     given = {c: found.column(c).to_numpy().astype(float) for c in categories}
     chain = fit_chain(texts, given) if len(texts) else []
