@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm.files import read_binary, write_binary
-from shelfscope.llm.shared import chunks, only
+from shelfscope.llm.shared import chunks, kept, only
 from shelfscope.llm.tokens import ID_TYPE, encoder
 
 MAGIC, ENDING = b"DACTOK01", b"\x01KOTCAD\n"
@@ -155,29 +155,15 @@ def write_tokens(
     write_binary(ordered.mapInArrow(encode, "file binary"), "file", path, ENDING)
 
 
-def _bases(spark: SparkSession, files: DataFrame) -> dict[int, list[int]]:
-    """Ids before each file: by partition, a list over its files. Only heads come to the driver,
-    48 bytes for a file of millions of ids."""
-    size = len(MAGIC) + HEAD.size
-    heads = files.select(F.expr(f"substring(content, 1, {size})").alias("head")).toLocalIterator()
-    found = sorted(HEAD.unpack_from(bytes(r.head), len(MAGIC))[:4] for r in heads)
-    bases: dict[int, list[int]] = {}
-    before = 0
-    for partition, _, _, n in found:
-        bases.setdefault(partition, []).append(before)
-        before += n
-    return bases
-
-
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """A row per document of the files: id, ids before it, number of ids and their CRC-32.
 
-    ``with_ids`` adds the ids themselves, as little-endian 32-bit integers.
+    ``with_ids`` adds the ids themselves, as little-endian 32-bit integers. The files are read once, when
+    this is called; how many ids lie before a file is a join with one row for each file.
     """
     files = read_binary(spark, path)
-    bases = _bases(spark, files)
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    schema = "part int, place int, doc_id long, start long, n_tokens long, ids_crc32 long"
+    names = ["part", "place", "doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +174,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 slices = [memoryview(data)[a * size : b * size] for a, b in zip(starts, ends, strict=True)]
                 columns = [
+                    pa.array(np.full(len(ends), part.partition, np.int32)),
+                    pa.array(np.full(len(ends), part.place, np.int32)),
                     pa.array(part.doc_ids, pa.int64(), mask=part.nulls.astype(bool)),
-                    pa.array(starts + bases[part.partition][part.place]),
+                    pa.array(starts),
                     pa.array(ends - starts),
                     pa.array([zlib.crc32(s) for s in slices], pa.int64()),
                 ]
@@ -197,4 +185,14 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     columns.append(pa.array([bytes(s) for s in slices], pa.binary()))
                 yield pa.record_batch(columns, names)
 
-    return files.mapInArrow(decode, schema + ", ids binary" * with_ids)
+    found = kept(files.mapInArrow(decode, schema + ", ids binary" * with_ids), "decoded")
+    sizes = found.groupBy("part", "place").agg(F.sum("n_tokens").alias("n"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    # Over one row for each partition of the writer.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.sum("n").over(earlier).alias("before"))
+    none = F.lit(0)
+    bases = sizes.withColumn("own", F.sum("n").over(inside)).join(parts, "part")
+    bases = bases.select("part", "place", (F.coalesce("own", none) + F.coalesce("before", none)).alias("base"))
+    placed = found.join(bases, ["part", "place"]).withColumn("start", F.col("start") + F.col("base"))
+    return placed.select(*names[2:])

@@ -149,15 +149,18 @@ def with_responses(pages: DataFrame, id_col: str, url_col: str, payload_col: str
     rows = only(pages, id=id_col, url=url_col, text=payload_col).withColumn(
         "text", F.coalesce("text", F.lit("")).cast("binary")
     )
-    keyed = rows.withColumn("key", F.unhex(F.sha1("text")))
+    # Public pairs of pages have one SHA-1 and differ: length and another hash tell these apart.
+    key = ["key", "size", "second"]
+    hashes = [F.unhex(F.sha1("text")), F.length("text"), F.xxhash64("text")]
+    keyed = rows.withColumns(dict(zip(key, hashes)))
     shared = (
-        keyed.where(F.length("text") >= least)
-        .groupBy("key")
+        keyed.where(F.col("size") >= least)
+        .groupBy(*key)
         .agg(F.max("id").alias("largest"), F.count("*").alias("copies"))
         .where("copies > 1")
         .drop("copies")
     )
-    joined = keyed.join(kept(shared, "payloads"), "key", "left")
+    joined = keyed.join(kept(shared, "payloads"), key, "left")
     refers = F.when(~same(F.col("id"), F.col("largest")), F.col("largest"))
     return joined.select("id", "url", "text", refers.alias("response"))
 
@@ -200,6 +203,8 @@ def write_archives(
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
+    Length and digest of a response are those of its block as read; if its headers say otherwise, the
+    archive is damaged and reading fails. A revisit has no block, so they are those of its headers.
     ``with_payload`` adds url and the record's own block (empty for a revisit).
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -213,10 +218,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         for row in range(len(bundle.index)):
             head, block = parse(bundle.at(row))
             refers = head.get("WARC-Refers-To")
+            told = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+            found = told if refers else (len(block), digest(block))
+            if found != told:
+                raise ValueError(f"record {head['WARC-Record-ID']} has {found}, its headers say {told}")
             yield (
                 page_of(head["WARC-Record-ID"]),
-                int(head["X-Payload-Length"]),
-                head["WARC-Payload-Digest"].removeprefix("sha1:"),
+                *found,
                 head["WARC-Type"],
                 page_of(refers) if refers else None,
                 head["WARC-Target-URI"],

@@ -1,14 +1,17 @@
 import io
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import zstandard
 from samples import words
-from shelfscope.llm import packing, token_store, warc
-from shelfscope.llm.files import read_binary
-from shelfscope.llm.shared import new_folder
+from shelfscope.llm import line_templates, packing, token_store, warc
+from shelfscope.llm.files import read_binary, write_binary
+from shelfscope.llm.shared import delete_scratch, new_folder
 from shelfscope.llm.tokens import Encoder
+from shelfscope.sources.kept import exists
 from tokenizers import Tokenizer
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -139,3 +142,33 @@ def test_cuts():
     assert packing.cuts(1, 8) == [1]
     assert packing.cuts(29, 8) == [8, 8, 8, 4, 1]
     assert packing.cuts(16, 8) == [8, 8]
+
+
+def test_a_changed_payload_is_told(spark):
+    """A byte of a response differs from what its headers say."""
+    writer = warc.Writer(1000)
+    writer.add(1, warc.record(1, "u", b"good page", None))
+    writer.add(2, warc.record(2, "v", b"some page", None).replace(b"some page", b"same page"))
+    path = new_folder(spark, "test")
+    write_binary(spark.createDataFrame([(writer.finish(),)], "file binary"), "file", path, warc.ENDING)
+    with pytest.raises(Exception, match="its headers say"):
+        warc.read_archives(spark, path).collect()
+
+
+def test_an_empty_table_is_read_back(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    path = new_folder(spark, "test")
+    warc.write_archives(none, path)
+    assert warc.read_archives(spark, path).count() == 0
+    path = new_folder(spark, "test")
+    token_store.write_tokens(none.selectExpr("page_id AS doc_id", "html AS text"), path, BYTES)
+    assert token_store.read_tokens(spark, path).count() == 0
+
+
+def test_nothing_is_left_after_deleting_scratch(spark):
+    docs = spark.createDataFrame([(k, f"{words(9, 1)}\n{words(9, k)}") for k in range(5)], "doc_id long, text string")
+    found = line_templates.drop_lines(docs).collect()
+    folder = new_folder(spark, "test").rsplit("/", 1)[0]
+    assert found and exists(spark, folder) and os.listdir(folder)
+    delete_scratch(spark)
+    assert os.listdir(folder) == []
