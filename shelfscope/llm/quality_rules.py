@@ -100,7 +100,7 @@ def profile(
     )
     return rows.select(
         "doc_id",
-        F.when(F.col("lang").isin(sorted(common)), F.col("lang")).alias("lang"),
+        "lang",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         matching(text, SYMBOLS).alias("n_symbols"),
@@ -160,8 +160,9 @@ def judge(
     The distance of a sample shrinks with its length, so a limit is ``max_*_distance`` and a slack
     divided by the square root of the number of characters or words.
     A text shorter than ``least_chars`` or ``least_words`` is not judged by the histogram of that
-    kind, and one in a language without common words, or whose language has no document that
-    passes the base rules, by neither; then its distance is null and only the base rules count.
+    kind; one in a language that ``common`` has no words of by its characters alone; and one without a
+    language, or whose language has no document that passes the base rules, by neither. A distance
+    that is not judged is null, and without any only the base rules count.
     A null or empty text has no words and fails them. Every row gives one row, ids as they are.
     """
     counted = kept(profile(docs, common, window, id_col, text_col, lang_col), "profiles")
@@ -180,7 +181,7 @@ def judge(
     def sums(column: str, n: int) -> Column:
         return F.array(*[F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0)) for i in range(n)])
 
-    # At most a row for each language that has common words.
+    # Every language has a reference of its own. Their number is not bounded, so the join has no hint.
     usual = (
         counted.where("NOT base_failed AND lang IS NOT NULL")
         .groupBy("lang")
@@ -189,11 +190,12 @@ def judge(
             sums("commons", longest).alias("usual_commons"),
         )
     )
-    near = counted.join(F.broadcast(usual), "lang", "left").withColumn(
+    near = counted.join(usual, "lang", "left").withColumn(
         "usual_commons", F.slice("usual_commons", 1, F.size("commons"))
     )
     by_class = F.when(F.col("word_chars") >= least_chars, distance(F.col("classes"), F.col("usual_classes")))
-    by_word = F.when(F.col("n_words") >= least_words, distance(F.col("commons"), F.col("usual_commons")))
+    has_words = (F.col("n_words") >= least_words) & F.col("lang").isin(sorted(common))
+    by_word = F.when(has_words, distance(F.col("commons"), F.col("usual_commons")))
     near = near.withColumns({"by_class": by_class, "by_word": by_word})
     class_limit = max_class_distance + class_slack / F.sqrt("word_chars")
     word_limit = max_word_distance + word_slack / F.sqrt("n_words")

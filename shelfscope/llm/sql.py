@@ -51,9 +51,7 @@ def _op2() -> str:
 WITH common(lang, pos, word) AS (
     VALUES {words}
 ), d AS (
-    SELECT doc_id, coalesce(text, '') AS text, lang, {WORDS} AS w,
-           lang IN (SELECT lang FROM common) AS spoken
-    FROM documents
+    SELECT doc_id, coalesce(text, '') AS text, lang, {WORDS} AS w FROM documents
 ), grams AS (
     SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
     FROM d, unnest(range(1, len(w) - 6)) u(i) WHERE len(w) >= 8
@@ -68,7 +66,7 @@ WITH common(lang, pos, word) AS (
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^ \\x09-\\x0D]') GROUP BY doc_id
 ), base AS (
-    SELECT doc_id, lang, spoken, text, w, len(w) AS n_words,
+    SELECT doc_id, lang, text, w, len(w) AS n_words,
            length(array_to_string(w, '')) AS word_chars,
            {matching(CLASSES[2])} AS n_symbols,
            coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
@@ -86,7 +84,7 @@ WITH common(lang, pos, word) AS (
     UNION ALL SELECT doc_id, kind, 99, any_value(of) - sum(n) FROM counted GROUP BY ALL
 ), usual AS (
     SELECT lang, kind, pos, sum(n) AS n FROM histogram JOIN base USING (doc_id)
-    WHERE NOT base_failed AND spoken GROUP BY ALL
+    WHERE NOT base_failed GROUP BY ALL
 ), shares AS (
     SELECT doc_id, kind, h.n / sum(h.n) OVER (PARTITION BY doc_id, kind) AS a,
            u.n / sum(u.n) OVER (PARTITION BY doc_id, kind) AS b
