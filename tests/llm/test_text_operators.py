@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pyarrow as pa
 from samples import edited, words
 from shelfscope.llm import decontaminate, line_crf, line_templates, near_dedup, quality_rules, substrings, toxicity
 from pyspark.sql import functions as F
+from shelfscope.llm.shared import chunks
 from shelfscope.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,3 +280,52 @@ def test_odd_mixes_are_far_from_the_usual(spark):
     assert {r.doc_id for r in judged.where("NOT kept").collect()} == {k for k in range(200) if k % 20 == 0}
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_bad_lines_in_good_documents_are_found(spark, small):
+    """Lines of held-out junk, planted into held-out good documents."""
+    folder = small.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = line_crf.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    held = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    rng = random.Random(2)
+    junk = [line for i, q in sorted(held.items()) if not q for line in texts[i].split("\n") if len(line.split()) > 3]
+    planted, at = [], {}
+    for i, q in sorted(held.items()):
+        lines = [line for line in texts[i].split("\n") if line.strip()]
+        if q and len(lines) > 4:
+            at[i] = rng.randrange(1, len(lines))
+            lines.insert(at[i], rng.choice(junk))
+            planted.append((i, "\n".join(lines)))
+    found = {r.doc_id: r for r in line_crf.mark_lines(frame(spark, planted), model).collect()}
+    hits = sum(at[i] in r.bad_lines for i, r in found.items())
+    others = sum(len(r.bad_lines) for r in found.values()) - hits
+    assert hits / len(found) >= 0.8
+    assert others / sum(r.n_lines - 1 for r in found.values()) <= 0.25
+    assert all(0 <= r.bad_share <= 1 and len(r.bad_lines) <= r.n_lines for r in found.values())
+    empty = line_crf.mark_lines(frame(spark, [(1, None), (2, ""), (3, "a\n\nb")]), None).collect()
+    assert [(r.n_lines, r.bad_lines, r.bad_share) for r in sorted(empty, key=lambda r: r.doc_id)] == [
+        (0, [], 0.0), (0, [], 0.0), (2, [], 0.0),
+    ]
+
+
+def test_many_short_lines_take_bounded_memory():
+    """A megabyte of lines of two bytes, in one batch, is cut by lines."""
+    batch = pa.record_batch([pa.array(["a\n" * 5_000] * 100)], ["text"])
+    parts = list(chunks(batch, "text", line_crf.CHUNK_TEXT, line_crf.CHUNK_LINES))
+    assert sum(p.num_rows for p in parts) == 100
+    assert max(p.num_rows for p in parts) * 5_000 <= line_crf.CHUNK_LINES + 5_000
+
+
+def test_every_language_has_its_characters_judged(spark):
+    """A fifth language, without common words, and a text of it that is all capitals and digits."""
+    docs = [(k, words(120, 50 + k), "it") for k in range(30)]
+    docs += [(100, words(120, 7).upper().replace("A", "7"), "it"), (101, words(120, 9).upper(), None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert all(found[k].kept and found[k].class_distance is not None for k in range(30))
+    assert all(r.word_distance is None for r in found.values())
+    assert not found[100].kept and found[100].class_distance > 0.5
+    assert found[101].kept and found[101].class_distance is None
