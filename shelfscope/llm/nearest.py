@@ -97,7 +97,8 @@ def fit(x: np.ndarray, leaf_rows: int, branching: int, seed: int = 1) -> Tree:
     at = leaves = 0
     while at < len(parts):
         own = parts[at]
-        near = clusters(x[own], branching, rng) if len(own) > leaf_rows else np.zeros(len(own), int)
+        k = min(branching, -(-len(own) // leaf_rows))
+        near = clusters(x[own], k, rng) if k > 1 else np.zeros(len(own), int)
         split = np.unique(near)
         first.append(len(parts))
         if len(split) > 1:
@@ -120,17 +121,17 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
 
 
-def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, added in the same order for every row, so equal vectors get equal ones."""
-    return np.array([np.dot(row, query) for row in x])
-
-
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest, with all that a rounding error could put among them."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    return np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
+def nearest_of(q: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a query and of a vector, and their product: of each query the ``k`` largest that reach its
+    ``floor``, and all that a rounding error could put among them. Products are added in the same order for
+    every pair."""
+    scores = q @ x.T
+    k = min(k, len(x))
+    least = np.maximum(-np.partition(-scores, k - 1, 1)[:, k - 1], floor)
+    at, there = np.nonzero(scores >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
+    step = max(1, (1 << 20) // x.shape[1])
+    exact = [np.einsum("ij,ij->i", q[at[i : i + step]], x[there[i : i + step]]) for i in range(0, len(at), step)]
+    return at, there, np.concatenate(exact)
 
 
 def usable(v: str) -> Column:
@@ -144,7 +145,7 @@ def neighbours(
     asks: Column,
     k: int = 20,
     recall: float = 0.95,
-    leaf_rows: int = 200,
+    leaf_rows: int = 2000,
     branching: int = 16,
     sample: int = 20_000,
     sample_bytes: int = 16 << 20,
@@ -231,46 +232,49 @@ def neighbours(
 
     vector = named.schema["v"].dataType.simpleString()
     walked = kept(queries.mapInArrow(walk, f"a long, b long, v {vector}, leaves array<int>"), "walks")
-    visiting = walked.select(*NAME, "v", F.explode("leaves").alias("leaf"))
-    sides = visiting.groupBy("leaf").agg(F.count("*").alias("q")).join(
-        indexed.groupBy("leaf").agg(F.count("*").alias("n")), "leaf"
-    )
-    slices = sides.select(
-        "leaf", F.ceil(F.col("q") / tile).cast("int").alias("q_parts"), F.ceil(F.col("n") / tile).cast("int").alias("n_parts")
-    )
-    slices = kept(slices, "slices")
     number = F.xxhash64(F.lit(3), *NAME)
+    keys = ["leaf", "q", "n"]
 
-    def sliced(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in its slice, once for every slice of the other side."""
-        df = df.join(slices, "leaf").withColumn(own, F.pmod(number, F.col(f"{own}_parts")).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
+    def visit(visiting: DataFrame) -> DataFrame:
+        """The best entries of each visited leaf that reach the query's floor."""
+        sides = visiting.groupBy("leaf").agg(F.count("*").alias("q")).join(
+            indexed.groupBy("leaf").agg(F.count("*").alias("n")), "leaf"
+        )
+        parts = [F.ceil(F.col(c) / tile).cast("int").alias(f"{c}_parts") for c in ("q", "n")]
+        slices = kept(sides.select("leaf", *parts), "slices")
 
-    keys = ["leaf", "q", "n"]
-    left = sliced(visiting, "q", "n").select(*keys, *NAME, "v")
-    right = sliced(indexed, "n", "q").select(*keys, *NAME, "v", "ids")
+        def sliced(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Each row in its slice, once for every slice of the other side."""
+            df = df.join(slices, "leaf").withColumn(own, F.pmod(number, F.col(f"{own}_parts")).cast("int"))
+            return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
+
+        left = sliced(visiting, "q", "n").select(*keys, *NAME, "v", "floor")
+        right = sliced(indexed, "n", "q").select(*keys, *NAME, "v", "ids")
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+        return met.applyInArrow(compare, f"n int, a long, b long, score double, itself boolean, ids array<{kind}>")
 
     def compare(key, asking: pa.Table, there: pa.Table) -> pa.Table:
-        names = ["a", "b", "score", "itself", "ids"]
-        out = [[], [], [], [], []]
+        names = [asking.column(c).to_numpy() for c in NAME]
+        others = [there.column(c).to_numpy() for c in NAME]
+        at = other = np.zeros(0, np.int64)
+        score = np.zeros(0)
         if asking.num_rows and there.num_rows:
-            q, x = matrix(asking.column("v"), dims), matrix(there.column("v"), dims)
-            first, second, ids = (t.to_pylist() for t in (asking.column("a"), asking.column("b"), there.column("ids")))
-            a, b = there.column("a").to_numpy(), there.column("b").to_numpy()
-            for row, scores in enumerate(q @ x.T):
-                near = best(scores, k + 1)
-                exact = products(x[near], q[row])
-                order = sorted(range(len(near)), key=lambda i: (-exact[i], ids[near[i]][0]))[: k + 1]
-                out[0] += [first[row]] * len(order)
-                out[1] += [second[row]] * len(order)
-                out[2] += [float(exact[i]) for i in order]
-                out[3] += [bool(a[near[i]] == first[row] and b[near[i]] == second[row]) for i in order]
-                out[4] += [ids[near[i]] for i in order]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), there.schema.field("ids").type]
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    found = met.applyInArrow(compare, f"a long, b long, score double, itself boolean, ids array<{kind}>")
+            floor = asking.column("floor").to_numpy()
+            at, other, score = nearest_of(matrix(asking.column("v"), dims), matrix(there.column("v"), dims), k + 1, floor)
+        itself = (names[0][at] == others[0][other]) & (names[1][at] == others[1][other])
+        part = np.full(len(at), key[2].as_py(), np.int32)
+        columns = [pa.array(c) for c in (part, names[0][at], names[1][at], score, itself)]
+        ids = there.column("ids").take(pa.array(other)).combine_chunks()
+        return pa.table([*columns, ids], names=["n", *NAME, "score", "itself", "ids"])
+
+    # What the first leaf has of a query bounds what the others have to show.
+    unbounded = F.lit(float("-inf")).alias("floor")
+    first = kept(visit(walked.select(*NAME, "v", unbounded, F.get("leaves", F.lit(0)).alias("leaf"))), "first")
+    full = first.groupBy(*NAME, "n").agg(F.count("*").alias("many"), F.min("score").alias("least"))
+    floors = full.where(F.col("many") > k).groupBy(*NAME).agg(F.max("least").alias("floor"))
+    others = F.explode(F.slice("leaves", F.lit(2), F.greatest(F.size("leaves") - 1, F.lit(0)))).alias("leaf")
+    rest = walked.select(*NAME, "v", others).join(kept(floors, "floors"), NAME, "left")
+    found = first.unionByName(visit(rest.withColumn("floor", F.coalesce("floor", unbounded))))
     found = found.select(*NAME, "score", "itself", F.explode("ids").alias("vec_id"))
     nearest_first = [F.desc("score"), F.asc("vec_id")]
     # One more than k, as the query itself is among them.

@@ -125,7 +125,7 @@ def true_divergence(rows, least_docs, top):
 
 
 def test_divergence_of_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "BLOCK_BITS", 3)
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", 8)
     monkeypatch.setattr(divergence, "TILE", 2)
     rows = corpus(3, 150)
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
