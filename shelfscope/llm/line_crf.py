@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.linear import fit_logistic, in_training, predict, sampled, sigmoid
-from shelfscope.llm.shared import chunks, only
+from shelfscope.llm.shared import chunks, only, release_idle
 from shelfscope.llm.words import M1, buffers, hashes, mix, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -337,6 +337,7 @@ def keep_good(
     """The rows, with all their columns, whose score is at least the threshold."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_idle()
         for batch in batches:
             for part in chunks(batch, text_col, CHUNK_TEXT, CHUNK_LINES):
                 good = model.score(chains(part.column(text_col))) >= threshold

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscope.llm.shared import chunks, kept
+from shelfscope.llm.shared import chunks, kept, release_idle
 from shelfscope.llm.words import M1, M3, hashes, mix, spans
 
 FIELD = np.uint64(0xF1E1D)  # stands for a variable field
@@ -82,6 +82,7 @@ class Lines:
 
 
 def parts(batches: Iterator[pa.RecordBatch], leading: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    release_idle()
     for batch in batches:
         for part in chunks(batch, "text"):
             yield part, Lines(part.column("text"), leading)

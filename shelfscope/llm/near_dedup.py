@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.shared import chunks, kept, only
+from shelfscope.llm.shared import chunks, kept, only, release_idle
 from shelfscope.llm.words import M1, M2, M3, mix, row_keys, shingles, words_of
 
+#: Text that a task takes at once: a shingle's points take some twenty arrays.
+TEXT_BYTES = 3 << 20
+
 
 def weights(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, value and count of the distinct values of each row, ascending in both."""
@@ -99,8 +102,9 @@ def marks(rows: DataFrame, size: int, bands: int, registers: int) -> DataFrame:
     """Per row with an id: key of its words, and its bands' hashes (none if shorter than a shingle)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_idle()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 words = words_of(part.column("text"))
                 row, value, count = weights(*shingles(words, size))
                 signature = signatures(row, value, count, part.num_rows, bands * registers)
@@ -120,8 +124,9 @@ def bags(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Multisets of the wanted ids: sorted hashes and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_idle()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 words = words_of(part.column("text"))
                 row, value, times = weights(*shingles(words, size))
                 ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())

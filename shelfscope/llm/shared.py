@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +44,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_idle() -> None:
+    """Free what tasks of other operators left in this worker, which Spark uses again: a vocabulary's cache of
+    pieces, and Arrow's pool of freed memory."""
+    tokens = sys.modules.get("shelfscope.llm.tokens")
+    if tokens:
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; whatever else there is, is left out."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
