@@ -29,6 +29,15 @@ RARE_ASCII = [chr(c) for c in (0, 9, 11, 12, 13, *range(0x1C, 0x20))]
 RARE = [chr(c) for c in WHITE_OTHER]
 TAILS = ".,;:!?"
 DOUBLED = ["  ", " \n", "\n ", "\n\n"]
+# Letters of Latin-1, whose lower-case forms are single characters, and ASCII marks but the apostrophe, which may
+# begin a pre-token of its own with the letters after it.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = r"!-&(-/:-@\[-`{-~"
+SIMPLE = re.compile(f"([\0\n]?)([{LETTERS}]+)([{MARKS}]*)")
+# Byte-level spelling: the 256th character and on for bytes that have none of their own.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SPELLING = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in SHOWN)}
+BLANK = chr(SPELLING[0x20])
 
 
 class Encoder:
@@ -55,6 +64,7 @@ class Encoder:
         self.keeps_space = self._ids([" a"]) != self._ids(["a"])
         self.folds = self._ids(["A"]) == self._ids(["a"])
         self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
+        self.line_feed = self._ids(["\n"])[0]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -97,20 +107,38 @@ class Encoder:
         # Lower-casing must not make an added token of what is none.
         return piece if not low.isalpha() and any(a in low for a in self.added) else low
 
+    def _part(self, key: str, pre_token: str) -> bytes:
+        """Ids of a pre-token; ``key`` is the piece that is no more than it."""
+        ids = self.ids.get(key)
+        if ids is None:
+            if not pre_token.isascii():
+                pre_token = pre_token.encode().decode("latin-1").translate(SPELLING)
+            if self.keeps_space and key[0] != "\0":
+                pre_token = BLANK + pre_token
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(pre_token)]).tobytes()
+            self.ids[key] = ids
+        return ids
+
     def _learn(self, missing: set[str]) -> None:
-        bases = {piece: self._base(piece) for piece in missing}
-        new = list(set(bases.values()).difference(self.ids))
-        word, blank = self.tokenizer.model.tokenize, "\u0120" if self.keeps_space else ""
         rest = []
-        for piece in new:
-            # A run of ASCII letters is one pre-token, and byte-level spelling leaves letters as
-            # they are and writes a blank as U+0120, so the model can take it at once.
-            if piece.isascii() and piece.isalpha():
-                self.ids[piece] = array("I", [t.id for t in word(blank + piece)]).tobytes()
-            else:
+        for piece in missing:
+            # Letters are one pre-token, and so are marks after them: the model can take them at once.
+            simple = SIMPLE.fullmatch(piece)
+            if not simple or simple[1] and not self.keeps_space:
                 rest.append(piece)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
+                continue
+            lead, letters, marks = simple.groups()
+            low = letters.lower() if self.folds else letters
+            ids = self._part("\0" + low if lead else low, low)
+            if lead == "\n":
+                ids = self.line_feed + ids
+            if marks:
+                ids += self._part("\0" + marks if self.keeps_space else marks, marks)
+            self.ids[piece] = ids
+        bases = {piece: self._base(piece) for piece in rest}
+        new = list(set(bases.values()).difference(self.ids))
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
             self.ids.update(zip(some, self._ids([self._text(p) for p in some]), strict=True))
         for piece, base in bases.items():
             if piece is not base:

@@ -52,6 +52,33 @@ def test_ids_of_added_tokens_are_those_of_the_plain_library():
             assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
 
 
+def latin_texts(n=6000):
+    rng = np.random.default_rng(7)
+    letters = list("abZQéÉèßÞÿÀñØ") * 3
+    alphabet = [*letters, *"!%*-.,_'`@[]^{}~#/9²µªº×÷ŉ", "'s", "'Ll", "\0", " ", " ", "  ", "\n", "\n\n", "\u0301", "<|ENDOFTEXT|>"]
+    return ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(n)]
+
+
+def test_ids_of_latin_letters_and_marks_are_those_of_the_library():
+    texts = latin_texts()
+    for path in (BYTES, WORDS):
+        for limit in (300, 800_000):
+            want = library(path).encode_batch(texts, add_special_tokens=False)
+            got = Encoder(path, limit=limit).encode(texts)
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_letters_with_marks_after_them_need_no_pass_through_the_whole_library(monkeypatch):
+    text = "Élan señor größer, erlyhely&&& déjà!!\nÖl thisthhawhha%%% THORON.!!"
+    for path in (BYTES, WORDS):
+        coder, through = Encoder(path, added_tokens=True), []
+        plain = coder._ids
+        monkeypatch.setattr(coder, "_ids", lambda pieces, plain=plain, through=through: through.extend(pieces) or plain(pieces))
+        got = np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+        assert got == library(path).encode(text, add_special_tokens=False).ids
+        assert through == []
+
+
 def test_stored_and_packed_ids_have_added_tokens(spark):
     docs = [(k, t) for k, t in enumerate(special_texts(40))]
     frame, path = spark.createDataFrame(docs, "doc_id long, text string"), new_folder(spark, "test")
