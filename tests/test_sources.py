@@ -1,9 +1,13 @@
+from pathlib import Path
+
 import pytest
 from helpers import day, make_roles, rows
+from pyspark.sql import DataFrameWriter
 from shelfscope import Market, Rules, read_roles, read_table, write_table
 from shelfscope.plans import quality, trends
 from shelfscope.reports import OUTPUTS, reports, write_outputs
 from shelfscope.schemas import INPUT_FILES, TRANSACTION
+from shelfscope.sources import kept
 from shelfscope.sources.kept import CHECKPOINT_DIR, KeptTables, clustered, shared_folder
 
 FILES = {
@@ -71,6 +75,27 @@ def test_shared_folder_is_the_session_setting(spark):
     assert shared_folder(spark) == spark.conf.get(CHECKPOINT_DIR).rstrip("/")
 
 
+def test_a_mounted_folder_serves_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    folder = Path(spark.conf.get(CHECKPOINT_DIR))
+    before = set(folder.iterdir())
+    assert shared_folder(spark) == str(folder)
+    assert Market(spark, make_roles(spark)).folder.startswith(f"{folder}/")
+    assert set(folder.iterdir()) == before
+
+
+def test_a_folder_of_one_machine_does_not(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(kept, "CHECKPOINT_DIR", "shelfscope.test.dir")
+    spark.conf.set("shelfscope.test.dir", str(tmp_path))
+    # As if the tasks' files were on other disks: the driver has but the folder.
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: Path(path).mkdir())
+    for _ in range(2):
+        with pytest.raises(ValueError, match="not seen by all machines"):
+            shared_folder(spark)
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_a_failed_build_can_be_repeated(spark, tmp_path):
     tables, ready = KeptTables(spark, str(tmp_path)), []
 
