@@ -97,7 +97,7 @@ def apps(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             F.concat(F.lit("app-"), "s_suppkey").alias("content_id"),
             name.alias("app_name"),
-            F.col("n_regionkey").alias("category_id"),
+            F.col("n_regionkey").cast("int").alias("category_id"),
             (F.col("s_suppkey") % 3 + 1).cast("int").alias("device_id"),
         )
     )
@@ -117,10 +117,11 @@ def inapps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, folder: str) -> DataFrame:
-    names = F.array(*[F.lit(name) for name in CATEGORY_COLUMNS])
+    # Compared rather than used as an index, so that the key may be of any whole number type.
+    key = F.col("r_regionkey")
+    names = [F.when(key == place, name) for place, name in enumerate(CATEGORY_COLUMNS)]
     return _read(spark, folder, "region").select(
-        F.col("r_regionkey").alias("category_id"),
-        F.try_element_at(names, F.col("r_regionkey") + 1).alias("category_name"),
+        key.cast("int").alias("category_id"), F.coalesce(*names).alias("category_name")
     )
 
 

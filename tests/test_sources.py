@@ -9,6 +9,7 @@ from shelfscope.reports import OUTPUTS, reports, write_outputs
 from shelfscope.schemas import INPUT_FILES, TRANSACTION
 from shelfscope.sources import kept
 from shelfscope.sources.kept import CHECKPOINT_DIR, KeptTables, clustered, shared_folder
+from shelfscope.sources.star import categories
 
 FILES = {
     "transaction_dat.csv": "create_dt,content_id,acct_id,price,device_id\n"
@@ -121,6 +122,16 @@ def test_close_deletes_all_that_was_written(spark, small, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["other"]
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "decimal(10,0)"])
+def test_region_keys_of_any_width(spark, tmp_path, kind):
+    keys = spark.createDataFrame([(0,), (4,), (5,), (-2,), (None,)], "key int")
+    keys.select(keys.key.cast(kind).alias("r_regionkey")).write.parquet(str(tmp_path / "region.parquet"))
+    table = categories(spark, str(tmp_path))
+    assert table.schema == INPUT_FILES["category"][1]
+    found = dict(rows(table))
+    assert found == {0: "Entertainment", 4: "Utilities", 5: None, -2: None, None: None}
+
+
 def test_csv_columns_are_found_by_name(spark, tmp_path):
     text = "\n".join(["no,price,acct_id,create_dt,content_id,device_id", "0,1.50,u,2016-07-01,c1,2", ""])
     (tmp_path / "t.csv").write_text(text)
