@@ -18,7 +18,6 @@ exact: the overlap of the two multisets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -231,10 +230,11 @@ def components(edges: DataFrame) -> DataFrame:
     """The least id reachable from each id that has an edge (id, class).
 
     In each turn an id takes the least class among its neighbours', and then the class of that
-    id, until nothing changes; paths at least halve. One small table is written a turn.
+    id, until nothing changes; paths at least halve. One small table is written a turn, and the
+    edges are read, so they should be a stored table; repeated ones do no harm.
     """
-    edges = edges.select("a", "b").distinct()
-    both = kept(edges.union(edges.select("b", "a")), "edges")
+    edges = edges.select("a", "b")
+    both = edges.union(edges.select("b", "a"))
     now = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
     now = kept(now.select("id", F.least("id", "near").alias("class")), "classes")
     while True:
@@ -252,6 +252,27 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes (id, class), as ``components`` gives them, with further edges between their ids or new ones.
+
+    Only the edges between different classes are followed: one for every two classes.
+    """
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("id").alias(name), F.col("class").alias(f"class_{name}"))
+
+    between = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = between.selectExpr("coalesce(class_a, a) AS a", "coalesce(class_b, b) AS b").where("a <> b")
+    between = kept(between.distinct(), "between")
+    if between.isEmpty():
+        return classes
+    # A class goes by its least id, so these are names of classes, or ids that had none.
+    merged = components(between)
+    lowered = classes.join(merged.select(F.col("id").alias("class"), F.col("class").alias("low")), "class", "left")
+    lowered = lowered.select("id", F.coalesce("low", "class").alias("class"))
+    return kept(lowered.union(merged.join(classes, "id", "left_anti")), "classes")
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = 0.8,
@@ -275,19 +296,19 @@ def near_duplicates(
     rows = only(docs, id=id_col, text=text_col)
     named = rows.where("id IS NOT NULL")
     marked = kept(marks(named, shingle_words, bands, registers), "marks")
-    # Texts with equal words: the least id stands for all.
-    firsts = kept(
-        marked.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first")), "firsts"
-    )
+    # Texts with equal words, and so equal bands: the least id stands for all.
+    equal = marked.where("key IS NOT NULL").groupBy("key")
+    firsts = kept(equal.agg(F.min("id").alias("first"), F.any_value("bands").alias("bands")), "firsts")
     member = kept(
-        marked.join(firsts, "key", "left").select("id", F.coalesce("first", "id").alias("first")), "members"
+        marked.join(firsts.drop("bands"), "key", "left").select("id", F.coalesce("first", "id").alias("first")),
+        "members",
     )
     # An id that several texts have ties what stands for them together.
     several = member.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("last"))
     several = several.where("a < last").select("id", "a")
     tied = kept(member.join(several, "id").where("a < first").selectExpr("a", "first AS b"), "tied")
-    own = marked.join(firsts.withColumnRenamed("first", "id"), ["key", "id"], "left_semi")
-    band = own.select("id", F.explode("bands").alias("bucket")).distinct()
+    # An id that several texts have may be in a bucket twice, which costs a little and changes nothing.
+    band = firsts.select(F.col("first").alias("id"), F.explode("bands").alias("bucket"))
     hubs = band.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     hubs = kept(hubs.where("hub < last").select("bucket", "hub"), "hubs")
     inside = kept(band.join(hubs, "bucket"), "buckets")
@@ -298,8 +319,7 @@ def near_duplicates(
         return crossing.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
     asked = kept(pairs(inside.where("id <> hub")), "pairs")
-    found = [tied, kept(links(asked, held, similarity).select("a", "b"), "links")]
-    classes = components(reduce(DataFrame.union, found))
+    classes = components(tied.union(kept(links(asked, held, similarity).select("a", "b"), "links")))
     open_buckets = inside.select("bucket", "id")
     for turn in [*range(hub_rounds), None]:
         labelled = kept(
@@ -318,8 +338,7 @@ def near_duplicates(
         inner = kept(labelled.join(left, "bucket"), "unsettled")
         open_buckets = inner.select("bucket", "id")
         if turn is None:
-            found.append(kept(tile_links(inner, held, similarity, tile), "links"))
-            classes = components(reduce(DataFrame.union, found))
+            classes = joined(classes, kept(tile_links(inner, held, similarity, tile), "links"))
             break
         # Another hub for each bucket, compared with the documents of other classes.
         order = F.xxhash64("id", F.lit(turn))
@@ -329,8 +348,7 @@ def near_duplicates(
         new = kept(pairs(crossing).join(asked, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             asked = asked.union(new)
-            found.append(kept(links(new, held, similarity).select("a", "b"), "links"))
-            classes = components(reduce(DataFrame.union, found))
+            classes = joined(classes, kept(links(new, held, similarity).select("a", "b"), "links"))
 
     of_first = classes.withColumnRenamed("id", "first")
     per_id = member.join(of_first, "first", "left").select("id", F.coalesce("class", "first").alias("class_id"))

@@ -83,3 +83,17 @@ def test_overlaps_equal_counters():
     counters = [Counter(dict(zip(v.tolist(), t.tolist()))) for v, t in bags]
     got = near_dedup.overlaps(bags)
     assert got.tolist() == [[(x & y).total() for y in counters] for x in counters]
+
+
+def test_further_edges_give_the_classes_of_all_edges(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    drawn = [sorted(rng.choice(90, 2, replace=False).tolist()) for _ in range(70)]
+    edges = spark.createDataFrame(drawn + drawn[:5], "a long, b long")
+    first, more = (spark.createDataFrame(part, "a long, b long") for part in (drawn[:40], drawn[35:]))
+    classes = near_dedup.joined(near_dedup.components(first), more)
+    assert sorted(classes.collect()) == sorted(near_dedup.components(edges).collect())
+    nothing = near_dedup.joined(near_dedup.components(first.limit(0)), more)
+    assert sorted(nothing.collect()) == sorted(near_dedup.components(more).collect())
+    # Edges inside classes take no turn at all.
+    monkeypatch.setattr(near_dedup, "components", None)
+    assert near_dedup.joined(classes, edges) is classes
