@@ -1,6 +1,7 @@
 """Every registered query against its SQL counterpart, and what its plan may not contain."""
 
 import re
+from pathlib import Path
 
 import __spark_entry__ as registered
 import pytest
@@ -9,6 +10,11 @@ from shelfscope.reports import reports
 
 NAMES = sorted(reports())
 
+# Reports that ended before their own work where the region keys have 64 bits or the master is not local.
+ENDED_EARLY = [
+    "account_summary",
+]
+
 
 @pytest.fixture(scope="module")
 def oracle(small):
@@ -25,6 +31,27 @@ def test_query_equals_sql(spark, small, oracle, name):
     assert differences(df, oracle, registered.oracle_sql()[name]) == []
 
 
+@pytest.fixture(scope="module")
+def wide(spark, small, tmp_path_factory):
+    """The small tables, with region keys of 64 bits."""
+    folder = tmp_path_factory.mktemp("wide")
+    for path in Path(small).glob("*.parquet"):
+        if path.stem in ("nation", "region"):
+            df = spark.read.parquet(str(path))
+            keys = {c: df[c].cast("long") for c in df.columns if c.endswith("key")}
+            df.withColumns(keys).write.parquet(str(folder / path.name))
+        else:
+            (folder / path.name).symlink_to(path)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ENDED_EARLY)
+def test_query_on_a_cluster_with_wide_region_keys(spark, wide, name, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    df = registered.queries()[name](spark, wide)
+    assert differences(df, connect(wide), registered.oracle_sql()[name]) == []
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_has_no_python_and_no_cross_join(spark, small, name):
     df = registered.queries()[name](spark, small)
