@@ -14,6 +14,7 @@ NAMES = sorted(reports())
 ENDED_EARLY = [
     "account_summary",
     "account_summary_recut",
+    "accounts_by_payment_and_paid",
 ]
 
 
