@@ -15,6 +15,7 @@ ENDED_EARLY = [
     "account_summary",
     "account_summary_recut",
     "accounts_by_payment_and_paid",
+    "active_share",
 ]
 
 
