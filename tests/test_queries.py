@@ -16,6 +16,7 @@ ENDED_EARLY = [
     "account_summary_recut",
     "accounts_by_payment_and_paid",
     "active_share",
+    "activity_by_payment",
 ]
 
 
