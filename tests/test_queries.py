@@ -17,6 +17,7 @@ ENDED_EARLY = [
     "accounts_by_payment_and_paid",
     "active_share",
     "activity_by_payment",
+    "ambiguous_app_names",
 ]
 
 
