@@ -18,6 +18,7 @@ ENDED_EARLY = [
     "active_share",
     "activity_by_payment",
     "ambiguous_app_names",
+    "app_content_summary",
 ]
 
 
