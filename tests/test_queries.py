@@ -19,6 +19,7 @@ ENDED_EARLY = [
     "activity_by_payment",
     "ambiguous_app_names",
     "app_content_summary",
+    "app_dimension",
 ]
 
 
