@@ -20,6 +20,7 @@ ENDED_EARLY = [
     "ambiguous_app_names",
     "app_content_summary",
     "app_dimension",
+    "app_week",
 ]
 
 
