@@ -22,6 +22,7 @@ ENDED_EARLY = [
     "app_dimension",
     "app_week",
     "approximate_distinct",
+    "apps_by_device",
 ]
 
 
