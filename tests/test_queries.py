@@ -23,6 +23,7 @@ ENDED_EARLY = [
     "app_week",
     "approximate_distinct",
     "apps_by_device",
+    "apps_without_content",
 ]
 
 
