@@ -24,6 +24,7 @@ ENDED_EARLY = [
     "approximate_distinct",
     "apps_by_device",
     "apps_without_content",
+    "category_leaders",
 ]
 
 
