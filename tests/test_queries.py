@@ -25,6 +25,7 @@ ENDED_EARLY = [
     "apps_by_device",
     "apps_without_content",
     "category_leaders",
+    "category_leaders_games",
 ]
 
 
