@@ -26,6 +26,7 @@ ENDED_EARLY = [
     "apps_without_content",
     "category_leaders",
     "category_leaders_games",
+    "category_names",
 ]
 
 
