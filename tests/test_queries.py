@@ -27,6 +27,7 @@ ENDED_EARLY = [
     "category_leaders",
     "category_leaders_games",
     "category_names",
+    "category_summary",
 ]
 
 
