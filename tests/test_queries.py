@@ -28,6 +28,7 @@ ENDED_EARLY = [
     "category_leaders_games",
     "category_names",
     "category_summary",
+    "column_report",
 ]
 
 
