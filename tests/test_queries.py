@@ -29,6 +29,7 @@ ENDED_EARLY = [
     "category_names",
     "category_summary",
     "column_report",
+    "content_first_days",
 ]
 
 
