@@ -30,6 +30,7 @@ ENDED_EARLY = [
     "category_summary",
     "column_report",
     "content_first_days",
+    "content_first_seen",
 ]
 
 
