@@ -31,6 +31,7 @@ ENDED_EARLY = [
     "column_report",
     "content_first_days",
     "content_first_seen",
+    "content_test_revenue",
 ]
 
 
