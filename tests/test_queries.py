@@ -32,6 +32,7 @@ ENDED_EARLY = [
     "content_first_days",
     "content_first_seen",
     "content_test_revenue",
+    "content_test_txn",
 ]
 
 
